@@ -385,3 +385,18 @@ def near_groups(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
         named = linked.union(rest)
     found = rows.filter(~alone).join(cut(named), "digest").select("doc_id", "n_shingles", "component_id")
     return found.union(rows.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """``docs`` with one document of each linked group: the one with the smallest doc_id.
+
+    Of equal rows one stays.  A doc_id goes with all its rows if any of them is linked to a smaller one.
+    """
+    groups = cut(near_groups(docs, bits))
+    gone = cut(groups.filter("doc_id != component_id").select("doc_id").distinct())
+    left = docs.join(small_side(gone), "doc_id", "left_anti")
+    several = cut(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
+    if not several.isEmpty():
+        several = small_side(several)
+        left = left.join(several, "doc_id", "left_anti").unionByName(left.join(several, "doc_id", "left_semi").distinct())
+    return left.select(*docs.columns)
