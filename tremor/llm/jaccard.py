@@ -6,13 +6,18 @@ empty, linked with nothing).  Two documents link when 100 * shared >= 75 * unite
 1. Documents with equal sets are one group from the start, under the set's digest.
 2. All shingles are ordered by a coarse count of the corpus (rare first), then by hash.
    Sets that link share a shingle within their prefixes: the first n - ceil(0.75 n) + 1.
-3. Prefix shingles are dealt out in packed blocks.  For each shingle in two prefixes or more
+3. Of two linked sets the smaller shares one within a shorter part yet, its head: the first
+   n - ceil(6n / 7) + 1.  Prefix shingles are dealt out in packed blocks, marked head or not.  For each shingle in two prefixes or more
    the smallest digest leads, and every holder joins the leader's star: any pair that can
    link meets in a star, and the stars are few where documents are near copies of each other.
-4. A star's texts are compared in one pass.  Large stars are cut into chunks, each with the
-   leader; afterwards only members still apart are compared across chunks.  Inside a star
-   documents found linked need not be compared again, so no list of all pairs is made.
-5. Links (a spanning forest) are closed to components.
+4. Within a star, prefixes alone bound what two sets can share: the shingles in both, and
+   all of one set that lies beyond its prefix.  Pairs that could still link make a graph,
+   whose components hold every link there is; most stars fall apart here.
+5. Within such a component texts are compared, each text going to one place.  Documents
+   already linked need not be compared again, so no list of all pairs is made.  Large groups
+   are cut into chunks, each with the group's first member; afterwards only members still
+   apart are compared across chunks.
+6. Links (a spanning forest) are closed to components.
 
 Rows without a doc_id take no part: their component is null.  Rows that share a doc_id but
 not a text are separate documents; equal rows are linked as equal sets.
@@ -22,11 +27,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SHINGLE_WORDS, chunks, encoded, set_digest, word_chunks
-from .shared import cut, partitions, small_side
+from .kernel import set_digest, word_chunks
+from .shared import cut, drop, partitions, small_side
 
 PERCENT = 75
 #: The corpus count has 2**20 cells whatever the input (1 MB on the driver and in tasks); raise it with the corpus.
@@ -46,7 +52,7 @@ def measure(docs: DataFrame, bits: int) -> DataFrame:
         cells = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             n, digest = [], []
-            for _, _, words in word_chunks(encoded(batch.column(1))):
+            for _, _, words in word_chunks(batch.column(1)):
                 for s in words.shingle_sets():
                     n.append(len(s))
                     digest.append(set_digest(s))
@@ -89,6 +95,11 @@ def prefix_of(s, levels, bits):
     return s[:p] if not level.any() else s[np.argsort(level, kind="stable")[:p]]
 
 
+def head_size(n):
+    """How many shingles of a set of n can be the first it shares with a larger or equal linked set."""
+    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+
+
 def lanes(spark) -> list[int]:
     """One integer for each shuffle partition that Spark's hash deals there."""
     n = partitions(spark)
@@ -101,8 +112,9 @@ def prefix_blocks(docs: DataFrame, levels, heavy, bits: int, lane_of: list[int],
     """Light prefix shingles packed by lane, or (``by_rows``) heavy ones as rows (token, digest)."""
     lane_ids = np.array(lane_of, dtype=np.int32)
 
-    def pack(tokens, docs_of, digests, sizes):
-        lane = (tokens >> np.uint64(20)) % np.uint64(len(lane_ids))
+    def pack(tokens, heads, docs_of, digests, sizes):
+        marked = (tokens.astype(np.uint32) & np.uint32(0x7FFFFFFF)) | heads.astype(np.uint32) << np.uint32(31)
+        lane = (tokens >> np.uint64(32)) % np.uint64(len(lane_ids))
         order = np.argsort(lane, kind="stable")
         edges = np.searchsorted(lane[order], np.arange(len(lane_ids) + 1, dtype=np.uint64))
         out = []
@@ -112,19 +124,19 @@ def prefix_blocks(docs: DataFrame, levels, heavy, bits: int, lane_of: list[int],
                 own, start = np.unique(docs_of[at], return_index=True)  # entries are in order of documents
                 runs = np.diff(np.append(start, len(at))).astype(np.uint32)
                 head = np.array([len(at), len(own)], dtype=np.int64)
-                out.append((int(lane_ids[i]), b"".join(x.tobytes() for x in (head, tokens[at].astype(np.uint32), digests[own], sizes[own], runs))))
+                out.append((int(lane_ids[i]), b"".join(x.tobytes() for x in (head, marked[at], digests[own], sizes[own], runs))))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["lane", "block"])
 
     def run(batches):
-        seen, tokens, counts, digests, sizes, held = set(), [], [], [], [], 0
+        seen, tokens, heads, counts, digests, sizes, held = set(), [], [], [], [], [], 0
 
         def flushed():
             docs_of = np.repeat(np.arange(len(counts)), counts)
-            return pack(np.concatenate(tokens), docs_of, np.array(digests, dtype=np.int64), np.array(sizes, dtype=np.int32))
+            return pack(np.concatenate(tokens), np.concatenate(heads), docs_of, np.array(digests, dtype=np.int64), np.array(sizes, dtype=np.int32))
 
         for batch in batches:
             rows = []
-            for _, _, words in word_chunks(encoded(batch.column(0))):
+            for _, _, words in word_chunks(batch.column(0)):
                 for s in words.shingle_sets():
                     if not len(s) or (d := set_digest(s)) in seen:
                         continue
@@ -134,15 +146,17 @@ def prefix_blocks(docs: DataFrame, levels, heavy, bits: int, lane_of: list[int],
                     if by_rows:
                         rows += [(t, d) for t in prefix[much].view(np.int64).tolist()]
                         continue
+                    head = np.arange(len(prefix)) < head_size(len(s))
                     prefix = prefix[~much]
                     tokens.append(prefix)
+                    heads.append(head[~much])
                     counts.append(len(prefix))
                     digests.append(d)
                     sizes.append(len(s))
                     held += len(prefix)
                     if held >= FLUSH:
                         yield flushed()
-                        tokens, counts, digests, sizes, held = [], [], [], [], 0
+                        tokens, heads, counts, digests, sizes, held = [], [], [], [], [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["token", "digest"])
             if len(seen) > 1 << 20:
@@ -153,6 +167,13 @@ def prefix_blocks(docs: DataFrame, levels, heavy, bits: int, lane_of: list[int],
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, digest long" if by_rows else "lane int, block binary")
 
 
+def groups_of(k, n):
+    """Start and length of runs of one key whose sizes, ascending, have no gap beyond the similarity."""
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (100 * n[:-1] < PERCENT * n[1:])))
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, len(k)))
+
+
 def stars_of_blocks(blocks: DataFrame) -> DataFrame:
     """(leader, member) for all shingles that two or more prefixes hold; each lane in one task."""
 
@@ -172,6 +193,8 @@ def stars_of_blocks(blocks: DataFrame) -> DataFrame:
         if not keys:
             return
         keys, who, size = np.concatenate(keys), np.concatenate(who), np.concatenate(size)
+        head = keys >> np.uint64(31) & np.uint64(1) == 1
+        keys &= ~np.uint64(1 << 31)
         order = np.argsort(keys, kind="stable")
         same = keys[order[1:]] == keys[order[:-1]]
         hit = np.zeros(len(order), dtype=bool)
@@ -179,13 +202,17 @@ def stars_of_blocks(blocks: DataFrame) -> DataFrame:
         hit[:-1] |= same
         order = order[hit]
         order = order[np.lexsort((size[order], keys[order]))]
-        k, n, d = keys[order], size[order].astype(np.int64), who[order]
-        # a new group where the shingle changes, or no size is near enough
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (100 * n[:-1] < PERCENT * n[1:]))) if len(k) else np.zeros(0, dtype=bool)
+        k, n, d, head = keys[order], size[order].astype(np.int64), who[order], head[order]
+        if not len(k):
+            return
+        # a group: one shingle, sizes near enough; what is no head needs a head of its size or less before it
+        start, count = groups_of(k, n)
+        least = np.minimum.reduceat(np.where(head, n, np.iinfo(np.int64).max), start)
+        stays = head | (n >= np.repeat(least, count))
+        k, n, d = k[stays], n[stays], d[stays]
         if not len(k):
             return
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(k)))
+        start, count = groups_of(k, n)
         leader = np.repeat(np.minimum.reduceat(d, start), count)
         keep = np.repeat(count, count) > 1
         pairs = np.unique(np.stack([leader[keep], d[keep]]), axis=1)
@@ -204,8 +231,23 @@ def stars_of_rows(rows: DataFrame) -> DataFrame:
     return rows.join(leaders, "token").select("leader", F.col("digest").alias("member")).distinct()
 
 
-def _compare(sets, ids, labels, link):
-    """Links documents (by position) whose sets are near; those of one label count as linked."""
+def _exact(both, size, p, _):
+    """Whether sets of these sizes, sharing ``both`` with set p, are linked to it."""
+    return 100 * both >= PERCENT * (size + size[p] - both)
+
+
+def _possible(both, size, p, last):
+    """The same for prefixes: the most that can be shared beyond them included.
+
+    A set whose prefix ends first shares at most what is in both prefixes and its own rest.
+    """
+    beyond = -(-PERCENT * size // 100) - 1
+    rest = np.where(last < last[p], beyond, np.where(last > last[p], beyond[p], np.maximum(beyond, beyond[p])))
+    return _exact(np.minimum(both + rest, np.minimum(size, size[p])), size, p, last)
+
+
+def _compare(sets, size, last, ids, labels, near, link):
+    """Links documents (by position) that are ``near``; those of one label count as linked."""
     parent = list(range(len(sets)))
 
     def root(x):
@@ -217,18 +259,17 @@ def _compare(sets, ids, labels, link):
     first = {}
     for i, label in enumerate(labels):
         parent[i] = first.setdefault(label, i)
-    size = np.array([len(s) for s in sets], dtype=np.int64)
     if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if root(0) != root(1) and 100 * both >= PERCENT * (size[0] + size[1] - both):
+        both = np.array([len(np.intersect1d(sets[0], sets[1], assume_unique=True))] * 2)
+        if root(0) != root(1) and near(both, size, 0, last)[1]:
             link(ids[0], ids[1])
         return
-    every = np.concatenate(sets)
-    _, token, times = np.unique(every, return_inverse=True, return_counts=True)
+    lengths = np.array([len(s) for s in sets], dtype=np.int64)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[token] > 1
     cells = np.concatenate(([0], np.cumsum(shared)))
-    ends = np.cumsum(size)
-    lo, hi = cells[ends - size], cells[ends]
+    ends = np.cumsum(lengths)
+    lo, hi = cells[ends - lengths], cells[ends]
     token = np.unique(token[shared], return_inverse=True)[1] if shared.any() else token[:0]
     mark = np.zeros(len(token) + 1, dtype=bool)
     done = np.zeros(len(sets), dtype=bool)
@@ -240,18 +281,14 @@ def _compare(sets, ids, labels, link):
         apart = np.flatnonzero((roots != groups[n.argmax()]) & ~done)
         if not len(apart):
             return
-        # one document of each of the smaller groups; a document never compared comes first
-        for p in apart:
-            if done[p]:
-                continue
+        for p in apart:  # every document outside the largest group is compared with all
             done[p] = True
             own = token[lo[p] : hi[p]]
             mark[own] = True
             total = np.concatenate(([0], np.cumsum(mark[token])))
             mark[own] = False
-            both = total[hi] - total[lo]
             linked = False
-            for q in np.flatnonzero(100 * both >= PERCENT * (size + size[p] - both)):
+            for q in np.flatnonzero(near(total[hi] - total[lo], size, p, last)):
                 if q != p and root(q) != root(p):
                     link(ids[p], ids[q])
                     parent[root(q)] = root(p)
@@ -260,40 +297,46 @@ def _compare(sets, ids, labels, link):
                 break
 
 
-def compare_units(rows: DataFrame, n_keys: int) -> DataFrame:
-    """Links (a, b) found within each unit.  rows: the unit's key columns, member, label, text."""
+def compare_units(rows: DataFrame, by_text: bool) -> DataFrame:
+    """Links (a, b) found within each unit.
+
+    rows: the unit's key columns, then member, label, n_shingles and payload (packed text, or prefix keys).
+    """
+    n_keys = len(rows.columns) - 4
 
     def run(batches):
-        held, key_now = [], None
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def links_of(rows):
-            """Rows (key, member, label, text) of whole units."""
-            found = []
-            sets = []
-            texts = [r[3] for r in rows]
-            for _, _, words in word_chunks(texts):
-                sets += words.shingle_sets()
-            units = {}
+            """Rows (key, member, label, n, payload) of whole units."""
+            found, sets, units = [], [], {}
+            if by_text:
+                for _, _, words in word_chunks([unpack(r[4]) for r in rows]):
+                    sets += words.shingle_sets()
+            else:
+                sets = [np.frombuffer(r[4], dtype=np.uint32) for r in rows]
             for i, r in enumerate(rows):
-                if len(sets[i]) and set_digest(sets[i]) == r[1]:  # else another text of the same doc_id
-                    units.setdefault(r[0], {})[r[1]] = (sets[i], r[2])
+                if not by_text or len(sets[i]) and set_digest(sets[i]) == r[1]:  # else another text of the same doc_id
+                    units.setdefault(r[0], {})[r[1]] = (sets[i], len(sets[i]) if by_text else r[3], r[2])
             for unit in units.values():
                 if len(unit) > 1:
-                    ids = list(unit)
-                    _compare([unit[i][0] for i in ids], ids, [unit[i][1] for i in ids], lambda a, b: found.append((a, b)))
+                    ids, each = list(unit), list(unit.values())
+                    size = np.array([e[1] for e in each], dtype=np.int64)
+                    last = np.array([int(e[0][-1]) for e in each], dtype=np.int64) if not by_text else None
+                    _compare([e[0] for e in each], size, last, ids, [e[2] for e in each], _exact if by_text else _possible, lambda a, b: found.append((a, b)))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-        size = 0
+        held, key_now, size = [], None, 0
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True))
-            member, label = batch.column(n_keys).to_pylist(), batch.column(n_keys + 1).to_pylist()
-            for row in zip(keys, member, label, encoded(batch.column(n_keys + 2)), strict=True):
+            rest = (batch.column(i).to_pylist() for i in range(n_keys, n_keys + 4))
+            for row in zip(keys, *rest, strict=True):
                 if row[0] != key_now and size > 1 << 20:
                     yield links_of(held)
                     held, size = [], 0
                 key_now = row[0]
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4]) * (3 if by_text else 1)
         if held:
             yield links_of(held)
 
@@ -303,67 +346,123 @@ def compare_units(rows: DataFrame, n_keys: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that links (a, b) reach, by smallest neighbours and label jumps."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    """(node, label): the smallest node that links (a, b) reach.
+
+    Each round every node goes to its smallest neighbour's smallest neighbour and links are
+    renamed; what coincides is done, so the rounds work on less and less.
+    """
+    edges = cut(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct())
+    steps = []
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        step = cut(step.join(jump, "next", "left").select("node", F.col("label").alias("was"), F.least("next", "far").alias("label")))
-        labels = step.select("node", "label")
-        if not step.filter("was != label").limit(1).count():
-            return labels
-
-
-def _texts(docs, members, firsts):
-    """(member, text) of one document for each set."""
-    wanted = cut(members.join(firsts, members["member"] == firsts["digest"]).select("member", F.col("first_id").alias("doc_id")))
+        hook = cut(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
+        again = hook.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        steps.append(cut(hook.join(again, "to").select("node", F.col("far").alias("to"))))
+        drop(hook)
+        to = lambda end: steps[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+        renamed = edges.join(to("a"), "a").join(to("b"), "b").filter("a_to != b_to")
+        edges, before = cut(renamed.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct()), edges
+        drop(before)
+        if edges.isEmpty():
+            break
+    labels = steps.pop()
+    while steps:
+        step = steps.pop()
+        last = labels.select(F.col("node").alias("to"), F.col("to").alias("label"))
+        labels = step.join(last, "to", "left").select("node", F.coalesce("label", "to").alias("to"))
+    return cut(labels.select("node", F.col("to").alias("label")))
+
+
+def attached(docs: DataFrame, units: DataFrame, where: DataFrame, by_text: bool, levels, bits: int) -> DataFrame:
+    """Units (key columns, member, label) with n_shingles and payload of each member's document.
+
+    Documents are read again and send what is compared straight to their units: no text moves twice.
+    """
+    keys = units.columns[:-2]
+    wanted = units.join(where, "member").groupBy("doc_id", "member").agg(F.collect_list(F.struct(*keys, "label")).alias("units"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.join(small_side(wanted), "doc_id").select("member", "text")
-
+    joined = rows.join(small_side(cut(wanted)), "doc_id").select("member", "units", "text")
 
-def links_of(docs: DataFrame, firsts: DataFrame, levels, heavy, bits: int) -> DataFrame:
-    """Links (a, b) between digests: enough to connect all sets that are linked."""
-    spark = docs.sparkSession
-    stars = stars_of_blocks(prefix_blocks(docs, levels, heavy, bits, lanes(spark), by_rows=False))
-    if heavy.any():
-        stars = stars.union(stars_of_rows(prefix_blocks(docs, levels, heavy, bits, [], by_rows=True)))
-    stars = cut(stars.distinct())
-    texts = cut(_texts(docs, stars.select("member").distinct(), firsts))
-    sizes = firsts.select(F.col("digest").alias("member"), "n_shingles")
-    totals = stars.join(sizes, "member").groupBy("leader").agg(F.sum("n_shingles").alias("total"))
+    def run(batches):
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            members, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi, words in word_chunks(batch.column(2)):
+                sets = [] if by_text else words.shingle_sets()
+                out = []
+                for i in range(lo, hi):
+                    if by_text:
+                        n, payload = 0, pack(words.texts[i - lo])
+                    else:
+                        s = sets[i - lo]
+                        if not len(s) or set_digest(s) != members[i]:
+                            continue  # another text of the same doc_id
+                        prefix = prefix_of(s, levels, bits)
+                        level = levels[prefix >> np.uint64(64 - bits)].astype(np.uint32)
+                        n, payload = len(s), (np.minimum(level, 31) << np.uint32(27) | (prefix >> np.uint64(37)).astype(np.uint32)).tobytes()
+                    out += [(*[u[k] for k in keys], members[i], u["label"], n, payload) for u in lists[i]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    kinds = dict(units.dtypes)
+    names = [*keys, "member", "label", "n_shingles", "payload"]
+    types = [pa.int32() if kinds.get(k) == "int" else pa.int64() for k in names[:-1]] + [pa.binary()]
+    schema = ", ".join(f"{k} {'int' if kinds.get(k) == 'int' else 'long'}" for k in names[:-1]) + ", payload binary"
+    return joined.mapInArrow(run, schema)
+
+
+def linked_within(groups: DataFrame, sizes: DataFrame, attach, by_text: bool) -> DataFrame:
+    """Links (a, b) within groups (leader, member): enough to connect all that are near.
+
+    sizes: (member, n_shingles).  attach: units (key columns, member, label) -> the same with what is compared.
+    """
+    totals = cut(groups.join(sizes, "member").groupBy("leader").agg(F.sum("n_shingles").alias("total")))
     large = cut(totals.filter(F.col("total") > STAR_SHINGLES).select("leader", F.ceil(F.col("total") / STAR_SHINGLES).cast("int").alias("chunks")))
-    chunked = stars.join(small_side(large), "leader", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunked = groups.join(small_side(large), "leader", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.when(F.col("chunks") == 1, 0).otherwise(F.expr("pmod(xxhash64(member), chunks)").cast("int"))
     every = F.expr("sequence(0, chunks - 1)")
-    # the leader goes to every chunk of its star
+    # the leader goes to every chunk of its group
     units = chunked.withColumn("chunk", F.explode(F.when(F.col("member") == F.col("leader"), every).otherwise(F.array(chunk))))
-    units = units.join(texts, "member").select("leader", "chunk", "member", F.col("member").alias("label"), "text")
-    links = cut(compare_units(units, 2))
+    units = units.select("leader", "chunk", "member", F.col("member").alias("label"))
+    links = cut(compare_units(attach(units), by_text))
     if large.isEmpty():
         return links
-    # Members of large stars that are still apart: the star's largest component against the rest.
+    # Members of large groups that are still apart: the group's largest component against the rest.
     labels = components(links)
-    members = stars.join(small_side(large), "leader").join(labels, F.col("member") == labels["node"], "left")
+    members = groups.join(small_side(large), "leader").join(labels, F.col("member") == labels["node"], "left")
     members = cut(members.select("leader", "member", F.coalesce("label", "member").alias("label")))
     count = members.groupBy("leader", "label").agg(F.count("*").alias("n"))
-    main = count.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"))
-    main = cut(main.filter("m.n < all").select("leader", F.col("m.label").alias("main"), F.col("m.n").alias("n_main"), (F.col("all") - F.col("m.n")).alias("n_rest")))
-    if main.isEmpty():
+    main = count.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).filter("m.n < all")
+    share = lambda n: F.ceil(n * F.col("total") / F.col("all") / STAR_SHINGLES).cast("int")
+    blocks = totals.join(main, "leader").select("leader", F.col("m.label").alias("main"), share(F.col("m.n")).alias("mains"), share(F.col("all") - F.col("m.n")).alias("rests"))
+    blocks = cut(blocks)
+    if blocks.isEmpty():
         return links
-    per = totals.join(main, "leader").select("leader", "main", F.ceil(F.col("n_main") * F.col("total") / (F.col("n_main") + F.col("n_rest")) / STAR_SHINGLES).cast("int").alias("mains"), F.ceil(F.col("n_rest") * F.col("total") / (F.col("n_main") + F.col("n_rest")) / STAR_SHINGLES).cast("int").alias("rests"))
-    blocks = members.join(small_side(cut(per)), "leader").withColumn("rest", F.col("label") != F.col("main"))
-    own = F.expr("cast(pmod(xxhash64(member), if(rest, rests, mains)) as int)")
+    rows = members.join(small_side(blocks), "leader").withColumn("rest", F.col("label") != F.col("main"))
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(member), if(rest, rests, mains)) as int)"))
     # units: (main block i, rest block j) as (i, j), and (rest block i, rest block j) as (-1 - i, j) with i <= j
     place = F.expr("""if(rest,
         concat(transform(sequence(0, mains - 1), i -> struct(i as x, own as y)),
                transform(sequence(0, rests - 1), j -> struct(-1 - least(own, j) as x, greatest(own, j) as y))),
         transform(sequence(0, rests - 1), j -> struct(own as x, j as y)))""")
-    blocks = blocks.withColumn("own", own).withColumn("at", F.explode(place))
-    units = blocks.select("leader", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "member", "label")
-    units = units.join(texts, "member").select("leader", "x", "y", "member", "label", "text")
-    return cut(links.union(compare_units(units, 3)))
+    units = rows.withColumn("at", F.explode(place)).select("leader", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "member", "label")
+    return cut(links.union(compare_units(attach(units), by_text)))
+
+
+def links_of(docs: DataFrame, firsts: DataFrame, levels, heavy, bits: int) -> DataFrame:
+    """Links (a, b) between digests: enough to connect all sets that are linked."""
+    spark = docs.sparkSession
+    stars = stars_of_blocks(prefix_blocks(docs, levels, heavy, bits, lanes(spark), by_rows=False))
+    if heavy.any():
+        stars = stars.union(stars_of_rows(prefix_blocks(docs, levels, heavy, bits, [], by_rows=True)))
+    stars = cut(stars.distinct())
+    sizes = firsts.select(F.col("digest").alias("member"), "n_shingles")
+    where = firsts.select(F.col("digest").alias("member"), F.col("first_id").alias("doc_id"))
+
+    possible = linked_within(stars, sizes, lambda units: attached(docs, units, where, False, levels, bits), False)
+    if possible.isEmpty():
+        return possible
+    groups = cut(components(possible).select(F.col("label").alias("leader"), F.col("node").alias("member")))
+    return linked_within(groups, sizes, lambda units: attached(docs, units, where, True, levels, bits), True)
 
 
 def near_groups(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:

@@ -11,6 +11,7 @@ import sys
 import types
 
 import numpy as np
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
@@ -77,6 +78,7 @@ class Words:
     """
 
     def __init__(self, encoded, fold=True):
+        self.texts = encoded
         self.data = np.frombuffer(b" ".join(encoded), dtype=np.uint8)
         sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
         self.offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
@@ -130,9 +132,11 @@ def encoded(column):
 
 
 def word_chunks(texts, fold=True):
-    """(lo, hi, Words) over the texts (bytes), chunk by chunk."""
-    for lo, hi in chunks([len(t) for t in texts]):
-        yield lo, hi, Words(texts[lo:hi], fold)
+    """(lo, hi, Words) over the texts (bytes, or an Arrow string column), chunk by chunk."""
+    listed = isinstance(texts, list)
+    sizes = [len(t) for t in texts] if listed else pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for lo, hi in chunks(sizes):
+        yield lo, hi, Words(texts[lo:hi] if listed else encoded(texts.slice(lo, hi - lo)), fold)
 
 
 def set_digest(s):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import encoded, word_chunks
+from .kernel import word_chunks
 
 KEEP_AT = 0.5
 MIN_WORDS = 10
@@ -74,7 +74,7 @@ def _tally(table, data, gaps, bounds):
 
 
 def counts_of(texts):
-    """Counts of each text (UTF-8 bytes), in order."""
+    """Counts of each text (bytes, or an Arrow column), in order."""
     table = {name: np.zeros(256, dtype=bool) for name in ("char", "symbol", "upper", "exclaim", "other")}
     table["char"][[x for x in range(256) if x & 0xC0 != 0x80]] = True
     table["symbol"][list(SYMBOLS)] = True
@@ -88,7 +88,7 @@ def counts_of(texts):
         tally = {k: _tally(v, words.data, words.gap, bounds) for k, v in table.items()}
         for i in range(hi - lo):
             a, b = words.bounds[i], words.bounds[i + 1]
-            lines = [x for x in texts[lo + i].split(b"\n") if x.strip(SPACE)]
+            lines = [x for x in words.texts[i].split(b"\n") if x.strip(SPACE)]
             yield {
                 "n_words": int(b - a),
                 "word_chars": int(tally["char"][i]),
@@ -107,7 +107,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [[c[k] for k in COUNTS] + [votes_of(c)] for c in counts_of(encoded(batch.column(1)))]
+            rows = [[c[k] for k in COUNTS] + [votes_of(c)] for c in counts_of(batch.column(1))]
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS) + 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", *COUNTS, "votes"])
 
@@ -178,7 +178,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for c in counts_of(encoded(batch.column(text_at))):
+            for c in counts_of(batch.column(text_at)):
                 code = votes_of(c)
                 score = base + sum(w[code // 3**j % 3] for j, w in enumerate(weights))
                 failed = c["n_words"] < MIN_WORDS or 100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import encoded, word_chunks
+from .kernel import word_chunks
 from .shared import BROADCAST_ROWS, cut
 
 MIN_WORDS = 50
@@ -62,8 +62,7 @@ def seeds(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = encoded(batch.column(1))
-            for lo, hi, words in word_chunks(texts, fold=False):
+            for lo, hi, words in word_chunks(batch.column(1), fold=False):
                 grams = words.windows(GRAM)
                 found, doc, pos, sums = [], [], [], []
                 for i in range(hi - lo):
@@ -73,7 +72,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                         found.append(grams[at])
                         pos.append(at - a)
                         doc.append(np.full(len(at), ids[lo + i], dtype=np.int64))
-                        sums.append(np.full(len(at), checksum(texts[lo + i]), dtype=np.int64))
+                        sums.append(np.full(len(at), checksum(words.texts[i]), dtype=np.int64))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (found, doc, pos, sums)], ["hash", "doc", "pos", "sum"])
 
@@ -143,11 +142,10 @@ def at_documents(docs: DataFrame, wanted: DataFrame, work, schema: str) -> DataF
     def run(batches):
         for batch in batches:
             ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = encoded(batch.column(2))
-            for lo, hi, words in word_chunks(texts, fold=False):
+            for lo, hi, words in word_chunks(batch.column(2), fold=False):
                 out = []
                 for i in range(hi - lo):
-                    out += work(words, i, ids[lo + i], checksum(texts[lo + i]), lists[lo + i])
+                    out += work(words, i, ids[lo + i], checksum(words.texts[i]), lists[lo + i])
                 columns = [pa.array([r[k] for r in out]) for k in range(len(names))] if out else []
                 if out:
                     yield pa.RecordBatch.from_arrays(columns, names)

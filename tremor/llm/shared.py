@@ -1,6 +1,7 @@
 """Helpers that several operators use."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,16 +10,34 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def shared_folder(spark) -> str:
+    """The session's checkpoint folder, which all executors share; a temporary one where none is set (tests)."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tremor-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut there.
+    """``df`` written to the shared folder and read from there: its lineage and plan end here.
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset (tests) a
-    temporary one is made.
+    The files go when the session's file system is closed, or by ``drop``.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tremor-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tremor-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tremor_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of ``df``, which ``cut`` returned and nothing will read again."""
+    spark = df.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(df._tremor_path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def partitions(spark) -> int:
