@@ -86,7 +86,7 @@ def later(places: DataFrame) -> DataFrame:
     firsts = places.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = cut(firsts.filter("first != last").select("hash", F.col("first.doc").alias("fdoc"), F.col("first.pos").alias("fpos"), F.col("first.sum").alias("fsum")))
     both = places.join(firsts, "hash")
-    return both.filter("not (doc = fdoc and pos = fpos and sum = fsum)").distinct()
+    return both.filter("not (doc = fdoc and pos = fpos and sum = fsum)")
 
 
 def chains(places: DataFrame, gram: int) -> DataFrame:
@@ -126,18 +126,16 @@ def chains(places: DataFrame, gram: int) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def at_documents(docs: DataFrame, wanted: DataFrame, work, schema: str) -> DataFrame:
-    """Runs ``work`` (Words, text i, its doc_id and checksum, wanted list) -> rows over the texts asked for.
+def at_documents(docs: DataFrame, wanted: DataFrame, work, names: list[str], binary=()) -> DataFrame:
+    """Rows of ``work`` (Words, text i, its doc_id and checksum, wanted list) over the texts asked for.
 
-    wanted: doc and columns of numbers, one row each.  Small lists go to the texts; otherwise
-    both are dealt by document.
+    wanted: doc and columns of numbers; texts and lists meet by document.
     """
     asked = wanted.drop("doc").columns
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.array(*asked)).alias("asked"))
+    lists = wanted.groupBy("doc").agg(F.collect_set(F.array(*asked)).alias("asked"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string"))
-    joined = rows.join(F.broadcast(lists) if few else lists, "doc").select("doc", "asked", "text")
-    names = [x.split()[0] for x in schema.split(", ")]
+    joined = rows.join(lists, "doc").select("doc", "asked", "text")
+    types = [pa.binary() if n in binary else pa.int64() for n in names]
 
     def run(batches):
         for batch in batches:
@@ -146,11 +144,10 @@ def at_documents(docs: DataFrame, wanted: DataFrame, work, schema: str) -> DataF
                 out = []
                 for i in range(hi - lo):
                     out += work(words, i, ids[lo + i], checksum(words.texts[i]), lists[lo + i])
-                columns = [pa.array([r[k] for r in out]) for k in range(len(names))] if out else []
                 if out:
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, ", ".join(f"{n} {'binary' if n in binary else 'long'}" for n in names))
 
 
 def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -159,39 +156,43 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
     def contexts(words, i, doc, total, asked):
         lo, hi = words.bounds[i], words.bounds[i + 1]
         out = []
-        for s, a, b in asked:
+        for s, a, b, fdoc, fsum, fa in asked:
             if s == total:
                 left = words.hashes[max(lo, lo + a - CONTEXT) : lo + a][::-1]
                 right = words.hashes[lo + b : min(hi, lo + b + CONTEXT)]
-                out.append((doc, s, a, b, left.tobytes(), right.tobytes()))
+                out.append((doc, s, a, b, fdoc, fsum, fa, *(x.astype(np.uint32).tobytes() for x in (left, right))))
         return out
 
-    own = found.select("doc", "sum", "a", "b")
-    earlier = found.select(F.col("fdoc").alias("doc"), F.col("fsum").alias("sum"), F.col("fa").alias("a"), (F.col("fa") + F.col("b") - F.col("a")).alias("b"))
-    spans = cut(own.union(earlier).distinct())
-    around = cut(at_documents(docs, spans, contexts, "doc long, sum long, a long, b long, left binary, right binary").dropDuplicates(["doc", "sum", "a", "b"]))
-    there = around.select(F.col("doc").alias("fdoc"), F.col("sum").alias("fsum"), F.col("a").alias("fa"), F.col("b").alias("fb"), F.col("left").alias("fleft"), F.col("right").alias("fright"))
-    rows = found.withColumn("fb", F.col("fa") + F.col("b") - F.col("a"))
-    rows = rows.join(around, ["doc", "sum", "a", "b"]).join(there, ["fdoc", "fsum", "fa", "fb"])
+    # each chain, and each earlier place once (marked by a negative word)
+    nothing = F.lit(-1).cast("long")
+    earlier = found.select(F.col("fdoc").alias("doc"), F.col("fsum").alias("sum"), F.col("fa").alias("a"), (F.col("fa") + F.col("b") - F.col("a")).alias("b"), nothing.alias("fdoc"), nothing.alias("fsum"), nothing.alias("fa"))
+    names = ["doc", "sum", "a", "b", "fdoc", "fsum", "fa", "left", "right"]
+    around = at_documents(docs, found.union(earlier), contexts, names, ("left", "right"))
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not ids.isEmpty():  # rows that share a doc_id
+        around = around.dropDuplicates(names[:7])
+    around = cut(around)
+    there = around.filter("fa < 0").selectExpr("doc as fdoc", "sum as fsum", "a as fa", "b as fb", "left as fleft", "right as fright")
+    rows = around.filter("fa >= 0").withColumn("fb", F.col("fa") + F.col("b") - F.col("a")).join(there, ["fdoc", "fsum", "fa", "fb"])
 
     def agree(x, y):
         """How many words agree, and the own word after them if there is one."""
-        x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
         n = min(len(x), len(y))
         same = x[:n] == y[:n]
         n = n if same.all() else int(same.argmin())
         return n, int(x[n]) if n < len(x) else None
 
-    names = ["doc", "sum", "a", "b", "fdoc", "fsum", "fa", "l", "before", "r", "after"]
+    out_names = ["doc", "sum", "a", "b", "fdoc", "fsum", "fa", "l", "before", "r", "after"]
 
     def run(batches):
         for batch in batches:
             left, right, fleft, fright = (batch.column(i).to_pylist() for i in range(7, 11))
             ends = [[agree(x, y) for x, y in zip(p, q, strict=True)] for p, q in ((left, fleft), (right, fright))]
             more = [pa.array([e[k] for e in side], pa.int64()) for side in ends for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], *more], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], *more], out_names)
 
-    rows = rows.select("doc", "sum", "a", "b", "fdoc", "fsum", "fa", "left", "right", "fleft", "fright").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    rows = rows.select("doc", "sum", "a", "b", "fdoc", "fsum", "fa", "left", "right", "fleft", "fright").mapInArrow(run, ", ".join(f"{n} long" for n in out_names))
     moved = rows.selectExpr("doc", "sum", "a - l as a", "b + r as b", "fdoc", "fsum", "fa - l as fa", "before", "after", "a as seed", f"b - {GRAM} as last_seed")
     return moved.withColumn("fb", F.col("fa") + F.col("b") - F.col("a"))
 
@@ -209,7 +210,7 @@ def across_ends(found: DataFrame) -> DataFrame:
         several = cut(rows.groupBy("fdoc", "fsum", "at", "word").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
         side = rows.join(several, ["fdoc", "fsum", "at", "word"]).select("doc", "sum", "lo", "hi")
         asked = side if asked is None else asked.union(side)
-    return asked.distinct()
+    return asked
 
 
 def windows_at(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def windows_at(docs: DataFrame, asked: DataFrame) -> DataFrame:
             words.long_windows = words.windows(MIN_WORDS).view(np.int64)
         return [(int(words.long_windows[lo + s]), doc, s, total) for s in sorted(starts)]
 
-    return at_documents(docs, asked, windows, "hash long, doc long, pos long, sum long")
+    return at_documents(docs, asked, windows, ["hash", "doc", "pos", "sum"])
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -245,7 +246,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     if not asked.isEmpty():
         whole = chains(later(windows_at(docs, asked)), MIN_WORDS)
         spans = spans.union(whole.select("doc", "sum", "a", "b", "fdoc", "fa"))
-    return merged(spans.distinct()).selectExpr("doc as doc_id", "a as first_word", "b as end_word", "b - a as n_words", "fdoc as earlier_doc_id", "fa as earlier_word", "sum as checksum")
+    return merged(spans).selectExpr("doc as doc_id", "a as first_word", "b as end_word", "b - a as n_words", "fdoc as earlier_doc_id", "fa as earlier_word", "sum as checksum")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
