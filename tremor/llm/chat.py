@@ -48,6 +48,13 @@ def unescape(text):
     return "".join(out) + text[i:]
 
 
+def sliced(batches, rows=128):
+    """Batches in small slices: lists of ids take many times their text's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_probe(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     probe = " union all ".join(f"select {PROBE[0]}L conv_id, {k}L turn, '{role}' role, '{PROBE[1]}' text" for k, role in enumerate(("user", LEARNED_ROLE)))
@@ -85,7 +92,7 @@ def laid_out(rows: DataFrame, tokenizer_path: str) -> DataFrame:
         from pyspark import TaskContext
 
         tokenizer, part, at = tokenizer_at(tokenizer_path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in sliced(batches):
             paths, headers, bodies = (batch.column(i).to_pylist() for i in range(3))
             encode = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
             heads = dict(zip(set(headers), encode(list(set(headers))), strict=True))
@@ -132,7 +139,7 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> Data
         decode = lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for conv, each in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 all_turns, loss, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0
