@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import set_digest, word_chunks
+from .kernel import mix64, set_digest, word_chunks
 from .shared import cut, drop, partitions, small_side
 
 PERCENT = 75
@@ -174,8 +174,9 @@ def groups_of(k, n):
     return start, np.diff(np.append(start, len(k)))
 
 
-def stars_of_blocks(blocks: DataFrame) -> DataFrame:
-    """(leader, member) for all shingles that two or more prefixes hold; each lane in one task."""
+def stars_of_blocks(blocks: DataFrame, lane_of: list[int]) -> DataFrame:
+    """(leader, member), each pair once, for all shingles that two or more prefixes hold; each lane in one task."""
+    lane_ids = np.array(lane_of, dtype=np.int32)
 
     def run(batches):
         keys, who, size = [], [], []
@@ -218,10 +219,21 @@ def stars_of_blocks(blocks: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([leader[keep], d[keep]]), axis=1)
         several = np.isin(pairs[0], pairs[0][pairs[0] != pairs[1]])  # equal sets from several tasks are no star
         pairs = pairs[:, several]
-        for lo in range(0, pairs.shape[1], 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0, lo : lo + 100_000]), pa.array(pairs[1, lo : lo + 100_000])], ["leader", "member"])
+        # a pair meets in several lanes; it is sent on packed, to a lane of its own, and kept once there
+        to = mix64(pairs[0].view(np.uint64) * np.uint64(3) + pairs[1].view(np.uint64)) % np.uint64(len(lane_ids))
+        for lane in np.unique(to):
+            own = np.ascontiguousarray(pairs[:, to == lane])
+            yield pa.RecordBatch.from_arrays([pa.array([int(lane_ids[int(lane)])], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["lane", "pairs"])
+
+    def once(batches):
+        parts = [np.frombuffer(p, dtype=np.int64).reshape(2, -1) for batch in batches for p in batch.column(1).to_pylist()]
+        if parts:
+            pairs = np.unique(np.concatenate(parts, axis=1), axis=1)
+            for lo in range(0, pairs.shape[1], 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0, lo : lo + 10_000]), pa.array(pairs[1, lo : lo + 10_000])], ["leader", "member"])
 
-    return blocks.repartition("lane").mapInArrow(run, "leader long, member long")
+    packed = blocks.repartition("lane").mapInArrow(run, "lane int, pairs binary")
+    return packed.repartition("lane").mapInArrow(once, "leader long, member long")
 
 
 def stars_of_rows(rows: DataFrame) -> DataFrame:
@@ -450,11 +462,11 @@ def linked_within(groups: DataFrame, sizes: DataFrame, attach, by_text: bool) ->
 
 def links_of(docs: DataFrame, firsts: DataFrame, levels, heavy, bits: int) -> DataFrame:
     """Links (a, b) between digests: enough to connect all sets that are linked."""
-    spark = docs.sparkSession
-    stars = stars_of_blocks(prefix_blocks(docs, levels, heavy, bits, lanes(spark), by_rows=False))
+    lane_of = lanes(docs.sparkSession)
+    stars = stars_of_blocks(prefix_blocks(docs, levels, heavy, bits, lane_of, by_rows=False), lane_of)
     if heavy.any():
-        stars = stars.union(stars_of_rows(prefix_blocks(docs, levels, heavy, bits, [], by_rows=True)))
-    stars = cut(stars.distinct())
+        stars = stars.union(stars_of_rows(prefix_blocks(docs, levels, heavy, bits, [], by_rows=True))).distinct()
+    stars = cut(stars)
     sizes = firsts.select(F.col("digest").alias("member"), "n_shingles")
     where = firsts.select(F.col("digest").alias("member"), F.col("first_id").alias("doc_id"))
 
