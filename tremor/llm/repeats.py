@@ -83,8 +83,8 @@ def seeds(docs: DataFrame) -> DataFrame:
 def later(places: DataFrame) -> DataFrame:
     """Every place (hash, doc, pos, sum) but the first of its hash, with that first; hot hashes can be split."""
     place = F.struct("doc", "pos", "sum")
-    firsts = places.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = cut(firsts.filter("first != last").select("hash", F.col("first.doc").alias("fdoc"), F.col("first.pos").alias("fpos"), F.col("first.sum").alias("fsum")))
+    firsts = places.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    firsts = cut(firsts.filter("n > 1").select("hash", F.col("first.doc").alias("fdoc"), F.col("first.pos").alias("fpos"), F.col("first.sum").alias("fsum")))
     both = places.join(firsts, "hash")
     return both.filter("not (doc = fdoc and pos = fpos and sum = fsum)")
 
