@@ -4,7 +4,7 @@ A word is a maximal run of bytes outside space and U+0009..U+000D.  Those separa
 are single bytes in UTF-8, so words are found on the encoded text.  Each word gets a
 64-bit hash from one running sum over the buffer (a polynomial in an odd base, whose
 powers are invertible modulo 2**64), then a finaliser.  Work goes in chunks of about a
-megabyte, so memory does not follow the size of an Arrow batch.
+quarter of a megabyte, so memory does not follow the size of an Arrow batch.
 """
 
 import sys
@@ -13,7 +13,7 @@ import types
 import numpy as np
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 _U = np.uint64
