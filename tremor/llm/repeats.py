@@ -126,15 +126,16 @@ def chains(places: DataFrame, gram: int) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def at_documents(docs: DataFrame, wanted: DataFrame, work, names: list[str], binary=()) -> DataFrame:
+def at_documents(docs: DataFrame, wanted: DataFrame, work, names: list[str], binary=(), many=False) -> DataFrame:
     """Rows of ``work`` (Words, text i, its doc_id and checksum, wanted list) over the texts asked for.
 
-    wanted: doc and columns of numbers; texts and lists meet by document.
+    wanted: doc and columns of numbers; texts and lists meet by document.  many: the lists follow
+    the corpus, so they are never broadcast (Spark would judge them by their compressed files).
     """
     asked = wanted.drop("doc").columns
     lists = wanted.groupBy("doc").agg(F.collect_set(F.array(*asked)).alias("asked"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string"))
-    joined = rows.join(lists, "doc").select("doc", "asked", "text")
+    joined = rows.join(lists.hint("merge") if many else lists, "doc").select("doc", "asked", "text")
     types = [pa.binary() if n in binary else pa.int64() for n in names]
 
     def run(batches):
@@ -167,7 +168,7 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
     nothing = F.lit(-1).cast("long")
     earlier = found.select(F.col("fdoc").alias("doc"), F.col("fsum").alias("sum"), F.col("fa").alias("a"), (F.col("fa") + F.col("b") - F.col("a")).alias("b"), nothing.alias("fdoc"), nothing.alias("fsum"), nothing.alias("fa"))
     names = ["doc", "sum", "a", "b", "fdoc", "fsum", "fa", "left", "right"]
-    around = at_documents(docs, found.union(earlier), contexts, names, ("left", "right"))
+    around = at_documents(docs, found.union(earlier), contexts, names, ("left", "right"), many=True)
     ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     if not ids.isEmpty():  # rows that share a doc_id
         around = around.dropDuplicates(names[:7])
