@@ -4,6 +4,10 @@ from graphs import graph, paths
 from tremor.operators import queries as q
 from tremor.operators.graph import BACKWARD, FORWARD
 from tremor.operators.neighborhood import neighborhood
+from tremor.plans.workload import QUERIES, symbols_of
+
+
+SF = "/root/testdata/sf0.001"
 
 
 def facts(answer):
@@ -111,3 +115,9 @@ def test_neighborhood_limits(spark):
 def test_foreign_focus_is_not_expanded(spark):
     g, ids = graph(spark, ["a", "f"], "a>f", foreign=["f"])
     assert text(g, ids["f"]).total == 1
+
+
+def test_dispatch_is_widened_for_every_symbol(spark):
+    named = symbols_of(spark, SF).count()
+    wide = QUERIES["merge_dispatch_whole"](spark, SF)
+    assert wide.select("src").distinct().count() == wide.select("target").distinct().count() == named

@@ -28,8 +28,9 @@ def merge_symbols(symbols: DataFrame) -> DataFrame:
 
 def widen_dispatch(dyn_calls: DataFrame, impl_methods: DataFrame) -> DataFrame:
     """A Virtual edge from each dynamic call's owner to every implementation of its trait's method, in any fragment."""
-    found = dyn_calls.select("owner", "trait_path", "method").distinct().join(impl_methods.select("trait_path", "method", "fq_path").distinct(), ["trait_path", "method"])
-    return found.select(F.col("owner").alias("src"), fnv1a64(F.col("fq_path")).alias("dst"), F.lit(VIRTUAL).alias("kind"))
+    held = impl_methods.select("trait_path", "method", "fq_path").distinct().select("trait_path", "method", fnv1a64(F.col("fq_path")).alias("dst"))  # hashed once, not per call
+    found = dyn_calls.select("owner", "trait_path", "method").distinct().join(held, ["trait_path", "method"])
+    return found.select(F.col("owner").alias("src"), "dst", F.lit(VIRTUAL).alias("kind"))
 
 
 def merge_edges(edges: DataFrame, dyn_calls: DataFrame, impl_methods: DataFrame, symbols: DataFrame) -> DataFrame:

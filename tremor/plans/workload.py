@@ -173,6 +173,15 @@ def merge_dispatch_edges(spark, sf_dir):
     return wide.join(ids, "dst").select("src", "target", "kind").distinct()
 
 
+def merge_dispatch_whole(spark, sf_dir):
+    """Every named symbol as a call and as an implementation."""
+    named = _fragments(spark, sf_dir)["named"]
+    calls = named.select(F.col("id").alias("owner"), "trait_path", "method")
+    wide = merge.widen_dispatch(calls, named.select("trait_path", "method", "fq_path"))
+    ids = named.select(F.col("id").alias("target"), fnv1a64(F.col("fq_path")).alias("dst"))
+    return wide.join(ids, "dst").select("src", "target", "kind").distinct()
+
+
 def merge_known_edges(spark, sf_dir):
     symbols = symbols_of(spark, sf_dir)
     return edges_of(spark, sf_dir, symbols)
@@ -197,6 +206,6 @@ QUERIES = {
     for f in (
         c1_resolve_symbol, c2_direct_calls, c2_parallel_edges, c3_reachability_forward, c3_reachability_backward, c3_reachability_levels, c4_call_paths,
         c5_affected_tests, c6_reachable_unsafe, c7_impact, c8_neighborhood_nodes, c8_neighborhood_edges, c8_neighborhood_diagram, walk_flags, boundary_targets,
-        merge_symbols, merge_collisions, merge_dispatch_edges, merge_known_edges, symbol_ids, diverged_documents,
+        merge_symbols, merge_collisions, merge_dispatch_edges, merge_dispatch_whole, merge_known_edges, symbol_ids, diverged_documents,
     )
 }

@@ -141,6 +141,8 @@ ORACLE_SQL = {
     "merge_collisions": f"{_YEARS} SELECT id % 97 AS id, count(DISTINCT fq_path) AS n_paths, min(fq_path) AS first_path FROM seen GROUP BY 1 HAVING count(DISTINCT fq_path) > 1",
     "merge_dispatch_edges": f"""WITH {_graph()} SELECT DISTINCT a.id AS src, b.id AS target, 'Virtual' AS kind
         FROM symbols a JOIN symbols b ON a.p_type = b.p_type AND a.id % 40 = b.id % 40 WHERE a.id % 7 = 0 AND b.id % 5 = 0""",
+    "merge_dispatch_whole": f"""WITH {_graph()} SELECT DISTINCT a.id AS src, b.id AS target, 'Virtual' AS kind
+        FROM symbols a JOIN symbols b ON a.p_type = b.p_type AND a.id % 40 = b.id % 40""",
     "merge_known_edges": f"WITH {_graph()} SELECT src, dst, kind FROM edges",
     "symbol_ids": f"""WITH {_graph()} SELECT fq_path, crate_name AS crate, printf('%016x', CAST(list_reduce(list_prepend(14695981039346656037::hugeint,
         list_transform(range(1, strlen(fq_path) + 1), lambda i: ascii(substr(fq_path, i, 1))::hugeint)),
