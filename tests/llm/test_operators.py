@@ -287,3 +287,12 @@ def test_components_of_chains(spark):
     r.shuffle(pairs)
     got = {x["node"]: x["label"] for x in jaccard.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert all(label == (0 if n < 100 else 100 if n < 200 else 200) for n, label in got.items()) and len(got) == 61 + 40 + 2
+
+
+def test_licences_without_anchors_and_wrapped(spark):
+    grant = licences.TEMPLATES["MIT"][-1].split()
+    wrapped = "\n".join(" ".join(grant[i : i + 9]) for i in range(0, len(grant), 9))
+    rows = [(1, "Released under MIT"), (2, "Distributed under BSD terms"), (3, "MPL-2.0"), (4, f"Some words\n\n{wrapped}\n \nmore words here")]
+    got = licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["family"]) for r in got} >= {(1, "MIT"), (2, "BSD"), (3, "MPL")}
+    assert any((r["doc_id"], r["paragraph"], r["family"], r["template_share"], r["confirmed"]) == (4, 2, "MIT", 1.0, True) for r in got)

@@ -1,14 +1,14 @@
 """Licence scans: a trained paragraph classifier, scored with DataFrame operations only.
 
-A paragraph is a line of a text.  Paragraphs that hold an anchor (a word that any licence
-notice here has) are described by their distinct word 1- and 2-grams; a sparse multinomial
-logistic regression over families and an unknown class gives probabilities, scaled by a
-temperature fitted on held-out samples.  A family is named if its probability is at least
+A paragraph is a line of a text, or a run of lines between blank ones, joined (a wrapped
+notice).  All paragraphs are described by their distinct word 1- and 2-grams; a sparse
+multinomial logistic regression over families and an unknown class gives probabilities,
+scaled by a temperature fitted on held-out samples.  A family is named if its probability is at least
 ``NAME_AT``, and confirmed if enough of a template of that family stands in the paragraph.
 
 The model is trained here on the driver, from the templates below with seeded variations;
-its table (about two thousand rows, whatever the input) is broadcast.  Without an anchor a
-paragraph is unknown and gives no row.  Null and empty texts have no paragraphs; repeated
+its table (about two thousand rows, whatever the input) is broadcast.  The words of
+``ANCHORS`` only choose which lines of class unknown are reported; they keep nothing from the model.  Null and empty texts have no paragraphs; repeated
 rows are scanned each; other columns are ignored.
 """
 
@@ -18,7 +18,7 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NAME_AT = 0.6
@@ -27,7 +27,7 @@ UNKNOWN = "unknown"
 #: Notices by family (fixed values: the usual public wordings).
 TEMPLATES = {
     "MIT": [
-        "Released under the MIT License.", "Licensed under the MIT license.", "This project is distributed under the terms of the MIT License", "SPDX-License-Identifier: MIT",
+        "Released under the MIT License.", "Licensed under the MIT license.", "This project is distributed under the terms of the MIT License", "SPDX-License-Identifier: MIT", "Released under MIT", "Licensed under MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     ],
     "Apache": [
@@ -58,6 +58,8 @@ OTHERS = [
     "a domain name that anyone can register", "public transport in the domain of the city", "she studied at mit before", "the bsd conference is in may", "the gnu is a large antelope", "the mozilla office moved",
     "rights of workers were reserved for later talks", "a creative commons room for all tenants", "fishing licenses are sold at the lake", "license plates of the cars", "you need a licence to fish", "the software license costs ten dollars",
     "a license agreement was signed by both firms", "the free software movement began", "the general public was invited", "permission to land was granted", "a copy of the letter was sent", "the terms of the treaty", "he was licensed to practise medicine",
+    "sie fuhr mit dem zug in die stadt", "er sprach mit der frau und mit den kindern", "das haus mit garten ist nicht weit von hier", "mit ihr", "wir gehen auch mit", "ein mann mit hut sitzt auf der bank im park", "für die schule und zu den eltern", "es ist sich des weges als gast bewusst",
+    "il est venu avec des amis de la ville", "les enfants et le chien sont dans la maison", "el hombre de la casa vino con los otros", "una carta para el profesor que no es de la escuela",
     "source and binary stars", "compliance with the law", "version 2.0 of the plan", "attribution of the painting is disputed", "no part of the house was painted",
 ]
 WORD = re.compile(r"[a-z0-9]+(?:[.+][a-z0-9]+)*")
@@ -149,25 +151,53 @@ def tables(spark):
     return families, table, [(f, len(g)) for f, g in flat], [float(v) for v in b], temperature
 
 
+PACK = 9  # counts of 7 bits in a whole number
+
+
+def units_of(docs: DataFrame) -> DataFrame:
+    """doc, doc_id, start, paragraph, lines, line: each line, and each run of lines between blank ones as one."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null")
+    rows = rows.withColumn("doc", F.monotonically_increasing_id()).withColumn("l", F.split("text", "\n"))
+    rows = rows.withColumn("full", F.expr("transform(l, x -> x rlike '[^ \\\\t\\\\r\\\\f]')")).withColumn("i", F.expr("sequence(0, size(l) - 1)"))
+    first = F.expr("filter(i, k -> full[k] and (k = 0 or not full[greatest(k - 1, 0)]))").alias("a")
+    last = F.expr("filter(i, k -> full[k] and (k = size(l) - 1 or not full[least(k + 1, size(l) - 1)]))").alias("b")
+    rows = rows.select("doc", "doc_id", "l", F.arrays_zip(first, last).alias("runs"))
+    each = "transform(slice(l, x.a + 1, x.b - x.a + 1), (t, j) -> struct(x.a as start, x.a + j as paragraph, 1 as lines, t as line))"
+    whole = "transform(filter(array(x), y -> y.b > y.a), y -> struct(y.a as start, y.a as paragraph, y.b - y.a + 1 as lines, array_join(slice(l, y.a + 1, y.b - y.a + 1), ' ') as line))"
+    return rows.select("doc", "doc_id", F.explode(F.expr(f"flatten(transform(runs, x -> concat({each}, {whole})))")).alias("u")).select("doc", "doc_id", "u.*")
+
+
 def licence_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (from 0), family, probability, template_share, confirmed of each paragraph with an anchor."""
+    """doc_id, paragraph (its first line, from 0), lines, family, probability, template_share, confirmed.
+
+    Rows: lines with a family, lines of class unknown that hold a word of ``ANCHORS``, and runs of
+    several lines in which more of a template of their family stands than in any one of the lines.
+    """
     families, table, templates, bias, temperature = tables(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(F.lower("text").rlike(ANCHORS))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("line", F.lower("line"))
-    lines = lines.filter(F.col("line").rlike(ANCHORS)).withColumn("row", F.monotonically_increasing_id())
+    packs = [range(k, min(k + PACK, len(templates))) for k in range(0, len(templates), PACK)]
+    for j, pack in enumerate(packs):
+        held = [F.when(F.array_contains("templates", k), F.lit(1 << 7 * (k - pack[0]))).otherwise(0).cast("long") for k in pack]
+        table = table.withColumn(f"t{j}", functools.reduce(lambda x, y: x + y, held))
+    table = table.select("gram", *[F.col("w")[k].alias(f"w{k}") for k in range(len(families))], *[f"t{j}" for j in range(len(packs))])
+    units = units_of(docs).withColumn("row", F.monotonically_increasing_id())
+    units = units.withColumn("anchor", (F.col("lines") == 1) & F.col("line").rlike(ANCHORS))
     words = F.regexp_extract_all("line", F.lit(WORD_SQL), F.lit(0))
     pairs = F.expr("zip_with(words, slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> if(b is null, null, concat(a, ' ', b)))")
     grams = F.array_distinct(F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>"))))
-    each = lines.withColumn("words", words).select("row", "doc_id", "paragraph", F.explode(grams).alias("gram")).filter("gram is not null")
+    keys = ["row", "doc", "doc_id", "start", "paragraph", "lines", "anchor"]
+    each = units.withColumn("words", words).select(*keys, F.explode(grams).alias("gram")).filter("gram is not null")
     hits = each.join(F.broadcast(table), "gram")
-    sums = [F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(families))]
-    scored = hits.groupBy("row", "doc_id", "paragraph").agg(*sums, F.flatten(F.collect_list("templates")).alias("t"))
+    sums = [F.sum(f"w{k}").alias(f"z{k}") for k in range(len(families))] + [F.sum(f"t{j}").alias(f"t{j}") for j in range(len(packs))]
+    scored = hits.groupBy(*keys).agg(*sums)
     z = F.array(*[((F.col(f"z{k}") + bias[k]) / temperature).alias(f"s{k}") for k in range(len(families))])
     scored = scored.withColumn("z", z).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("best", F.expr("array_position(z, top)")).withColumn("p", F.expr("1 / aggregate(z, 0D, (a, x) -> a + exp(x - top))"))
     family = F.element_at(F.array(*map(F.lit, families)), F.col("best").cast("int"))
     named = scored.withColumn("family", F.when(F.col("p") >= NAME_AT, family).otherwise(UNKNOWN))
-    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("f"), F.lit(n).alias("n")) for k, (f, n) in enumerate(templates)])
-    share = F.array_max(F.transform(F.filter(known, lambda x: x["f"] == F.col("family")), lambda x: F.size(F.filter(F.col("t"), lambda i: i == x["k"])) / x["n"]))
-    out = named.withColumn("template_share", F.coalesce(share, F.lit(0.0)))
-    return out.select("doc_id", F.col("paragraph").cast("int"), "family", F.round("p", 4).alias("probability"), F.round("template_share", 4).alias("template_share"), (F.col("template_share") >= CONFIRM_SHARE).alias("confirmed"))
+    named = named.filter((F.col("family") != UNKNOWN) | F.col("anchor"))
+    count = lambda k: F.shiftright(F.col(f"t{k // PACK}"), 7 * (k % PACK)).bitwiseAND(127)
+    share = F.greatest(F.lit(0.0), *[F.when(F.col("family") == f, count(k) / n) for k, (f, n) in enumerate(templates)])
+    out = named.withColumn("template_share", share)
+    line = F.max(F.when(F.col("lines") == 1, F.col("template_share"))).over(Window.partitionBy("doc", "start", "family"))
+    out = out.withColumn("line_share", F.coalesce(line, F.lit(0.0))).filter("lines = 1 or template_share > line_share")
+    return out.select("doc_id", F.col("paragraph").cast("int"), F.col("lines").cast("int"), "family", F.round("p", 4).alias("probability"), F.round("template_share", 4).alias("template_share"), (F.col("template_share") >= CONFIRM_SHARE).alias("confirmed"))
