@@ -296,3 +296,25 @@ def test_licences_without_anchors_and_wrapped(spark):
     got = licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["family"]) for r in got} >= {(1, "MIT"), (2, "BSD"), (3, "MPL")}
     assert any((r["doc_id"], r["paragraph"], r["family"], r["template_share"], r["confirmed"]) == (4, 2, "MIT", 1.0, True) for r in got)
+
+
+def test_every_source_has_its_own_stream(spark):
+    rows = [(i, "x" * 30, f"s{i % 300:03}") for i in range(900)]
+    got = mixing.placed(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_chars=30).collect()
+    assert {r["stream"] for r in got} == {f"s{i:03}" for i in range(300)}
+    assert sorted(r["slot"] for r in got) == list(range(900))
+    for r in got:
+        assert r["release"] == 300 * r["block"] <= r["slot"] < r["deadline"] == 300 * (r["block"] + 1)
+
+
+@pytest.mark.parametrize("weights", [{f"s{i}": 1.0 for i in range(30)}, {"a": 1e-4, "b": 0.3, "c": 0.6999}])
+def test_schedule_keeps_the_weights_asked_for(weights):
+    total, made = sum(weights.values()), {}
+    for p in mixing.schedule({s: max(1, int(6000 * w / total)) for s, w in weights.items()}, mixing.whole_weights(weights)):
+        x = p["phases"][0]
+        for k in range(x["n"]):
+            made[x["base"] + k // x["each"] * x["cycle"] + x["slots"][k % x["each"]]] = p["stream"]
+    done = dict.fromkeys(weights, 0)
+    for t in range(len(made)):
+        done[made[t]] += 1
+        assert all(abs(done[s] - (t + 1) * w / total) < 1 + 1e-9 for s, w in weights.items())
