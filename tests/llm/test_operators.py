@@ -318,3 +318,12 @@ def test_schedule_keeps_the_weights_asked_for(weights):
     for t in range(len(made)):
         done[made[t]] += 1
         assert all(abs(done[s] - (t + 1) * w / total) < 1 + 1e-9 for s, w in weights.items())
+
+
+def test_chat_reads_through_the_intervals(spark):
+    rows = [(1, 0, "user", "a b c"), (1, 1, "assistant", "d e"), (2, 0, "user", "a b c"), (2, 1, "user", "f")]
+    nodes, members = chat.chat_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), PATH)
+    assert chat.read_back(nodes, members, PATH).count() == 2
+    wrong = nodes.selectExpr("node", "parent", "depth", "start + if(depth = 1, 1000, 0) as start", "ids", "loss_from", "loss_to", "learned")
+    with pytest.raises(Exception, match="does not fit the layout"):
+        chat.read_back(wrong, members, PATH).collect()

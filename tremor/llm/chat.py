@@ -132,7 +132,11 @@ def attention(nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Per conversation, from the nodes' ids: n_turns, digests of the turns and of the text under the loss mask."""
+    """Per conversation, from the layout: n_turns, digests of the turns and of the text under the loss mask.
+
+    Ids are found by where ``attention`` says they start, and put together in the order of the
+    last turn's intervals; positions or intervals that do not fit them are an error.
+    """
 
     def run(batches):
         tokenizer = tokenizer_at(tokenizer_path)
@@ -141,9 +145,18 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> Data
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for batch in sliced(batches):
             out = []
-            for conv, each in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for conv, each, before in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 all_turns, loss, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0
-                for turn in each:
+                last = max(each, key=lambda t: t["position"])
+                intervals = [*((x["from"], x["to"]) for x in before), (last["start"], last["start"] + last["length"])]
+                own, position, end_before = {t["start"]: t for t in each}, 0, 0
+                if len(intervals) != len(each):
+                    raise ValueError(f"conversation {conv}: {len(each)} turns, {len(intervals)} intervals")
+                for lo, hi in intervals:
+                    turn = own.get(lo)
+                    if turn is None or lo < end_before or hi - lo != len(turn["ids"]) or turn["position"] != position:
+                        raise ValueError(f"conversation {conv}: interval {lo} to {hi} does not fit the layout")
+                    position, end_before = position + hi - lo, hi
                     ids = turn["ids"]
                     whole = decode(ids)
                     role, body = whole.removeprefix(TURN).removesuffix(END).split("\n", 1)
@@ -156,8 +169,11 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> Data
                 out.append((conv, len(each), all_turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
 
-    part = F.struct("k", "ids", "loss_from", "loss_to", "learned")
-    joined = members.join(nodes, "node").groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("turns"))
+    spans = attention(nodes, members)
+    held = nodes.select("start", "ids", "loss_from", "loss_to", "learned")
+    part = F.struct("position", "start", "length", "ids", "loss_from", "loss_to", "learned")
+    joined = spans.select("conv_id", "k", "start", "length", "position", "ancestors").join(held, "start").groupBy("conv_id")
+    joined = joined.agg(F.collect_list(part).alias("turns"), F.max_by("ancestors", "k").alias("ancestors"))
     return joined.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
