@@ -86,6 +86,13 @@ def c3_reachability_levels(spark, sf_dir):
     return _table(queries.reachability(graph, start_of(graph, FORWARD), FORWARD, 100_000))
 
 
+def c3_reachability_levels_whole(spark, sf_dir):
+    """Level by level over the edges of all quantities."""
+    symbols = symbols_of(spark, sf_dir)
+    graph = CallGraph(symbols, edges_of(spark, sf_dir, symbols, most=100), one_task_edges=0)
+    return _table(queries.reachability(graph, start_of(graph, FORWARD), FORWARD, 100_000))
+
+
 def c4_call_paths(spark, sf_dir):
     graph = graph_of(spark, sf_dir)
     found = queries.call_paths(graph, start_of(graph, FORWARD), _target(graph), 4, 40)
@@ -204,7 +211,7 @@ def diverged_documents(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        c1_resolve_symbol, c2_direct_calls, c2_parallel_edges, c3_reachability_forward, c3_reachability_backward, c3_reachability_levels, c4_call_paths,
+        c1_resolve_symbol, c2_direct_calls, c2_parallel_edges, c3_reachability_forward, c3_reachability_backward, c3_reachability_levels, c3_reachability_levels_whole, c4_call_paths,
         c5_affected_tests, c6_reachable_unsafe, c7_impact, c8_neighborhood_nodes, c8_neighborhood_edges, c8_neighborhood_diagram, walk_flags, boundary_targets,
         merge_symbols, merge_collisions, merge_dispatch_edges, merge_dispatch_whole, merge_known_edges, symbol_ids, diverged_documents,
     )

@@ -90,6 +90,7 @@ ORACLE_SQL = {
     "c3_reachability_forward": _query(_FORWARD, _REACH_FORWARD, "SELECT 'symbols' AS list, id FROM reach", 100_000),
     "c3_reachability_backward": _query(_BACKWARD, _REACH_BACKWARD, "SELECT 'symbols' AS list, id FROM reach", 50),
     "c3_reachability_levels": _query(_FORWARD, _REACH_FORWARD, "SELECT 'symbols' AS list, id FROM reach", 100_000, 4),
+    "c3_reachability_levels_whole": _query(_FORWARD, _REACH_FORWARD, "SELECT 'symbols' AS list, id FROM reach", 100_000, 100),
     "c4_call_paths": f"""WITH RECURSIVE {_graph()}, {_FORWARD},
         target AS (
             SELECT min(q.dst) AS id FROM edges p JOIN edges q ON q.src = p.dst
