@@ -4,7 +4,9 @@ A word is a maximal run of bytes outside space and U+0009..U+000D.  Those separa
 are single bytes in UTF-8, so words are found on the encoded text.  Each word gets a
 64-bit hash from one running sum over the buffer (a polynomial in an odd base, whose
 powers are invertible modulo 2**64), then a finaliser.  Work goes in chunks of about a
-quarter of a megabyte, so memory does not follow the size of an Arrow batch.
+quarter of a megabyte, so memory does not follow the size of an Arrow batch; one text beyond
+that is hashed in segments, a word cut by a border included, so what is kept of it is its
+bytes and, for each word, a hash and two positions.
 """
 
 import sys
@@ -14,6 +16,7 @@ import numpy as np
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 18
+SEGMENT = 1 << 19
 SHINGLE_WORDS = 5
 
 _U = np.uint64
@@ -35,27 +38,29 @@ def mix64(x):
     return x ^ (x >> _U(31))
 
 
-def _tables(size):
-    """Powers of the base, their inverses, and byte values with and without A-Z folded."""
+def _tables():
+    """Byte values with and without A-Z folded, which bytes part words, powers of the base and their inverses."""
     store = worker_store()
-    if "bytes" not in store:
+    if "tables" not in store:
         plain = mix64(np.arange(1, 257, dtype=np.uint64) * _U(_STEP))
         folded = plain.copy()
         folded[65:91] = plain[97:123]
         gap = np.zeros(256, dtype=bool)
         gap[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-        store["bytes"] = plain, folded, gap
-    if size > CHUNK_BYTES * 2 or "powers" not in store:
-        n = max(size, CHUNK_BYTES * 2)
         made = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n + 1, base, dtype=np.uint64)
+            p = np.full(SEGMENT + 1, base, dtype=np.uint64)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
-        if n > CHUNK_BYTES * 2:  # one very long text: don't keep its tables
-            return (*store["bytes"], *made)
-        store["powers"] = made
-    return (*store["bytes"], *store["powers"])
+        store["tables"] = plain, folded, gap, *made
+    return store["tables"]
+
+
+def sums_before(x):
+    """Running sums modulo 2**64, from 0: one more than ``x`` has."""
+    out = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(x, out=out[1:])
+    return out
 
 
 def chunks(sizes, limit=CHUNK_BYTES):
@@ -82,25 +87,53 @@ class Words:
         self.data = np.frombuffer(b" ".join(encoded), dtype=np.uint8)
         sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
         self.offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
-        plain, folded, gap, powers, inverse = _tables(len(self.data))
+        plain, folded, gap, powers, inverse = _tables()
+        values, small = folded if fold else plain, np.int32 if len(self.data) < 1 << 31 else np.int64
         self.gap = gap[self.data]
-        edge = np.diff(np.concatenate(([1], self.gap.view(np.int8), [1])))
-        self.starts = np.flatnonzero(edge == -1)
-        self.ends = np.flatnonzero(edge == 1)
+        starts, ends, hashes = [], [], []
+        open_word = None  # (hash so far, bytes so far) of a word that began in an earlier segment
+        for lo in range(0, len(self.data), SEGMENT):
+            here = self.gap[lo : lo + SEGMENT]
+            before = np.concatenate(([open_word is None], here[:-1]))
+            start, end = np.flatnonzero(before & ~here), np.flatnonzero(~before & here)
+            total = sums_before(values[self.data[lo : lo + SEGMENT]] * powers[: len(here)])
+            if open_word is not None and len(end):  # it ends here
+                value = open_word[0] + int(total[end[0]]) * pow(_BASE, open_word[1], 1 << 64)
+                hashes.append(np.array([value % (1 << 64)], dtype=np.uint64))
+                open_word = None
+                starts.append((start + lo).astype(small))
+                ends.append((end + lo).astype(small))
+                end = end[1:]
+            else:
+                starts.append((start + lo).astype(small))
+                ends.append((end + lo).astype(small))
+            whole = start[: len(end)]
+            hashes.append((total[end] - total[whole]) * inverse[whole])
+            if len(start) > len(end):
+                last = int(start[-1])
+                open_word = int((total[-1:] - total[last : last + 1])[0]) * pow(_BASE, -last, 1 << 64) % (1 << 64), len(here) - last
+            elif open_word is not None:
+                open_word = (open_word[0] + int(total[-1]) * pow(_BASE, open_word[1], 1 << 64)) % (1 << 64), open_word[1] + len(here)
+        if open_word is not None:
+            hashes.append(np.array([open_word[0]], dtype=np.uint64))
+            ends.append(np.array([len(self.data)], dtype=small))
+        joined = lambda parts, kind: np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, dtype=kind)
+        self.starts, self.ends = joined(starts, small), joined(ends, small)
+        self.hashes = joined(hashes, np.uint64)
+        for lo in range(0, len(self.hashes), SEGMENT):
+            self.hashes[lo : lo + SEGMENT] = mix64(self.hashes[lo : lo + SEGMENT])
         self.bounds = np.searchsorted(self.starts, self.offsets)
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((folded if fold else plain)[self.data] * powers[: len(self.data)], out=total[1:])
-        self.hashes = mix64((total[self.ends] - total[self.starts]) * inverse[self.starts])
 
     def windows(self, n):
         """Hashes of all runs of n words; run j starts at word j (runs over texts' ends included)."""
-        h = self.hashes
-        if len(h) < n:
-            return np.zeros(0, dtype=np.uint64)
-        out = np.zeros(len(h) - n + 1, dtype=np.uint64)
-        for i in range(n):
-            out += h[i : len(h) - n + 1 + i] * _U(pow(_STEP, i + 1, 1 << 64))
-        return mix64(out)
+        h, m = self.hashes, max(0, len(self.hashes) - n + 1)
+        _, _, _, powers, inverse = _tables()
+        out = np.zeros(m, dtype=np.uint64)
+        for lo in range(0, m, CHUNK_BYTES):
+            part = h[lo : min(lo + CHUNK_BYTES, m) + n - 1]
+            total = sums_before(part * powers[: len(part)])
+            out[lo : lo + CHUNK_BYTES] = mix64((total[n:] - total[:-n]) * inverse[: len(part) - n + 1])
+        return out
 
     def whole(self, i, n):
         """Hash of all words of text i, when they are fewer than n."""

@@ -67,10 +67,12 @@ def repeated_words(windows, n_words, n=WINDOW):
     return int((np.cumsum(mark[:-1]) > 0).sum())
 
 
-def _tally(table, data, gaps, bounds):
+def _tally(table, words):
     """Occurrences of bytes of a class in each text, outside gaps."""
-    total = np.concatenate(([0], np.cumsum(table[data] & ~gaps)))
-    return total[bounds[1:] - 1] - total[bounds[:-1]]
+    hit = np.zeros(len(words.data) + 1, dtype=np.uint8)  # one more, as the last text may be empty
+    np.take(table.view(np.uint8), words.data, out=hit[:-1])
+    hit[:-1] &= ~words.gap
+    return np.add.reduceat(hit, words.offsets[:-1], dtype=np.int64)
 
 
 def counts_of(texts):
@@ -83,9 +85,7 @@ def counts_of(texts):
     table["other"][[x for x in range(33, 127) if not chr(x).isalpha()]] = True
     for lo, hi, words in word_chunks(texts, fold=False):
         every = words.windows(WINDOW)
-        # offsets has one separator after each text; the last text's is virtual
-        bounds = words.offsets
-        tally = {k: _tally(v, words.data, words.gap, bounds) for k, v in table.items()}
+        tally = {k: _tally(v, words) for k, v in table.items()}
         for i in range(hi - lo):
             a, b = words.bounds[i], words.bounds[i + 1]
             lines = [x for x in words.texts[i].split(b"\n") if x.strip(SPACE)]
