@@ -3,22 +3,29 @@
 A document's set holds its distinct 5-word shingles (fewer words: the whole sequence; none:
 empty, linked with nothing).  Two documents link when 100 * shared >= 75 * united.
 
-1. Documents with equal sets are one group from the start, under the set's digest.
+1. Documents with equal sets are one from the start, under the set's digest.
 2. All shingles are ordered by a coarse count of the corpus (rare first), then by hash.
    Sets that link share a shingle within their prefixes: the first n - ceil(0.75 n) + 1.
+   Documents of one size with identical prefixes collapse into one prefix group, which from
+   here on stands for them.
 3. Of two linked sets the smaller shares one within a shorter part yet, its head: the first
-   n - ceil(6n / 7) + 1.  Prefix shingles are dealt out in packed blocks, marked head or not.  For each shingle in two prefixes or more
-   the smallest digest leads, and every holder joins the leader's star: any pair that can
-   link meets in a star, and the stars are few where documents are near copies of each other.
+   n - ceil(6n / 7) + 1.  Prefix shingles are dealt out in packed blocks, marked head or not.
+   For each shingle in two prefixes or more the smallest group leads, and every holder joins
+   the leader's star: any pair that can link meets in a star, and the stars are few where
+   documents are near copies of each other.
 4. Within a star, prefixes alone bound what two sets can share: the shingles in both, and
-   all of one set that lies beyond its prefix.  Pairs that could still link make a graph,
+   all of one set that lies beyond its prefix.  Group pairs that could still link make a graph,
    whose components hold every link there is; most stars fall apart here.
-5. Within such a component texts are compared, each text going to one place.  Documents
-   already linked need not be compared again, so no list of all pairs is made.  Large groups
-   are cut into chunks, each with the group's first member; afterwards only members still
-   apart are compared across chunks.
+5. What remains is expanded to its members, and within each component (or prefix group of
+   several sets) texts are compared, each text going to one place.  Documents already linked
+   need not be compared again, so no list of all pairs is made.  Large components are cut into
+   chunks, each with the first member; afterwards only members still apart are compared
+   across chunks.
 6. Links (a spanning forest) are closed to components.
 
+Sides that follow the corpus (ids, lists, payloads, texts) meet in merge joins at every size;
+what is broadcast has been counted and is at most ``shared.BROADCAST_BYTES``.
+
 Rows without a doc_id take no part: their component is null.  Rows that share a doc_id but
 not a text are separate documents; equal rows are linked as equal sets.
 """
@@ -27,12 +34,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import mix64, set_digest, word_chunks
-from .shared import cut, drop, partitions, small_side
+from .kernel import chunks, encoded, mix64, set_digest, word_chunks
+from .shared import BROADCAST_BYTES, cut, drop, partitions, small_side
 
 PERCENT = 75
 #: The corpus count has 2**20 cells whatever the input (1 MB on the driver and in tasks); raise it with the corpus.
@@ -108,11 +116,21 @@ def lanes(spark) -> list[int]:
     return [by.get(p, p) for p in range(n)]
 
 
-def prefix_blocks(docs: DataFrame, levels, heavy, bits: int, lane_of: list[int], by_rows: bool) -> DataFrame:
-    """Light prefix shingles packed by lane, or (``by_rows``) heavy ones as rows (token, digest)."""
+def prefix_table(docs: DataFrame, levels, heavy, bits: int, lane_of: list[int]) -> DataFrame:
+    """Three kinds of rows from one pass over the texts.
+
+    (lane, block): light prefix shingles, packed by lane; (token, gid): heavy ones; (gid, digest,
+    n_shingles, payload): a set's prefix group, and what stands for its prefix (null where this
+    task has sent the group's already).
+    """
     lane_ids = np.array(lane_of, dtype=np.int32)
+    names = ["lane", "block", "token", "gid", "digest", "n_shingles", "payload"]
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-    def pack(tokens, heads, docs_of, digests, sizes):
+    def batch_of(n, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[name], t) if name in columns else pa.nulls(n, t) for name, t in zip(names, types, strict=True)], names)
+
+    def pack(tokens, heads, docs_of, gids, sizes):
         marked = (tokens.astype(np.uint32) & np.uint32(0x7FFFFFFF)) | heads.astype(np.uint32) << np.uint32(31)
         lane = (tokens >> np.uint64(32)) % np.uint64(len(lane_ids))
         order = np.argsort(lane, kind="stable")
@@ -124,47 +142,53 @@ def prefix_blocks(docs: DataFrame, levels, heavy, bits: int, lane_of: list[int],
                 own, start = np.unique(docs_of[at], return_index=True)  # entries are in order of documents
                 runs = np.diff(np.append(start, len(at))).astype(np.uint32)
                 head = np.array([len(at), len(own)], dtype=np.int64)
-                out.append((int(lane_ids[i]), b"".join(x.tobytes() for x in (head, marked[at], digests[own], sizes[own], runs))))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["lane", "block"])
+                out.append((int(lane_ids[i]), b"".join(x.tobytes() for x in (head, marked[at], gids[own], sizes[own], runs))))
+        return batch_of(len(out), lane=[x[0] for x in out], block=[x[1] for x in out])
 
     def run(batches):
-        seen, tokens, heads, counts, digests, sizes, held = set(), [], [], [], [], [], 0
+        seen, known, tokens, heads, counts, gids, sizes, held = set(), set(), [], [], [], [], [], 0
 
         def flushed():
             docs_of = np.repeat(np.arange(len(counts)), counts)
-            return pack(np.concatenate(tokens), np.concatenate(heads), docs_of, np.array(digests, dtype=np.int64), np.array(sizes, dtype=np.int32))
+            return pack(np.concatenate(tokens), np.concatenate(heads), docs_of, np.array(gids, dtype=np.int64), np.array(sizes, dtype=np.int32))
 
         for batch in batches:
-            rows = []
+            rare, members = [], []
             for _, _, words in word_chunks(batch.column(0)):
                 for s in words.shingle_sets():
                     if not len(s) or (d := set_digest(s)) in seen:
                         continue
                     seen.add(d)
                     prefix = prefix_of(s, levels, bits)
-                    much = heavy[prefix >> np.uint64(64 - bits)]
-                    if by_rows:
-                        rows += [(t, d) for t in prefix[much].view(np.int64).tolist()]
+                    gid = set_digest(np.append(prefix, np.uint64(len(s))))
+                    if gid in known:
+                        members.append((gid, d, len(s), None))
                         continue
+                    known.add(gid)
+                    level = levels[prefix >> np.uint64(64 - bits)].astype(np.uint32)
+                    members.append((gid, d, len(s), (np.minimum(level, 31) << np.uint32(27) | (prefix >> np.uint64(37)).astype(np.uint32)).tobytes()))
+                    much = heavy[prefix >> np.uint64(64 - bits)]
+                    rare += [(t, gid) for t in prefix[much].view(np.int64).tolist()]
                     head = np.arange(len(prefix)) < head_size(len(s))
-                    prefix = prefix[~much]
-                    tokens.append(prefix)
+                    tokens.append(prefix[~much])
                     heads.append(head[~much])
-                    counts.append(len(prefix))
-                    digests.append(d)
+                    counts.append(len(tokens[-1]))
+                    gids.append(gid)
                     sizes.append(len(s))
-                    held += len(prefix)
+                    held += counts[-1]
                     if held >= FLUSH:
                         yield flushed()
-                        tokens, heads, counts, digests, sizes, held = [], [], [], [], [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["token", "digest"])
-            if len(seen) > 1 << 20:
+                        tokens, heads, counts, gids, sizes, held = [], [], [], [], [], 0
+            for kind, rows in ((["gid", "digest", "n_shingles", "payload"], members), (["token", "gid"], rare)):
+                if rows:
+                    yield batch_of(len(rows), **dict(zip(kind, zip(*rows, strict=True), strict=True)))
+            if len(seen) > 1 << 19:
                 seen.clear()
+                known.clear()
         if held:
             yield flushed()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, digest long" if by_rows else "lane int, block binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "lane int, block binary, token long, gid long, digest long, n_shingles long, payload binary")
 
 
 def groups_of(k, n):
@@ -239,8 +263,8 @@ def stars_of_blocks(blocks: DataFrame, lane_of: list[int]) -> DataFrame:
 def stars_of_rows(rows: DataFrame) -> DataFrame:
     """The same for heavy shingles, by operations whose hot keys Spark can split."""
     rows = cut(rows.distinct())
-    leaders = cut(rows.groupBy("token").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("token", "leader"))
-    return rows.join(leaders, "token").select("leader", F.col("digest").alias("member")).distinct()
+    leaders = cut(rows.groupBy("token").agg(F.min("gid").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("token", "leader"))
+    return rows.join(leaders.hint("merge"), "token").select("leader", F.col("gid").alias("member")).distinct()
 
 
 def _exact(both, size, p, _):
@@ -364,13 +388,15 @@ def components(links: DataFrame) -> DataFrame:
     renamed; what coincides is done, so the rounds work on less and less.
     """
     edges = cut(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct())
+    rows = BROADCAST_BYTES // 16
+    near = F.broadcast if edges.limit(rows + 1).count() <= rows else (lambda df: df.hint("merge"))  # all sides are smaller than the links
     steps = []
     while True:
         hook = cut(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
         again = hook.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        steps.append(cut(hook.join(again, "to").select("node", F.col("far").alias("to"))))
+        steps.append(cut(hook.join(near(again), "to").select("node", F.col("far").alias("to"))))
         drop(hook)
-        to = lambda end: steps[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+        to = lambda end: near(steps[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")))
         renamed = edges.join(to("a"), "a").join(to("b"), "b").filter("a_to != b_to")
         edges, before = cut(renamed.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct()), edges
         drop(before)
@@ -380,44 +406,38 @@ def components(links: DataFrame) -> DataFrame:
     while steps:
         step = steps.pop()
         last = labels.select(F.col("node").alias("to"), F.col("to").alias("label"))
-        labels = step.join(last, "to", "left").select("node", F.coalesce("label", "to").alias("to"))
+        labels = step.join(near(last), "to", "left").select("node", F.coalesce("label", "to").alias("to"))
     return cut(labels.select("node", F.col("to").alias("label")))
 
 
-def attached(docs: DataFrame, units: DataFrame, where: DataFrame, by_text: bool, levels, bits: int) -> DataFrame:
-    """Units (key columns, member, label) with n_shingles and payload of each member's document.
+def with_prefixes(prefixes: DataFrame, units: DataFrame) -> DataFrame:
+    """Units (key columns, member, label) with n_shingles and payload of each member's prefix."""
+    held = prefixes.filter("payload is not null").select(F.col("gid").alias("member"), "n_shingles", "payload")
+    held = held.join(units.select("member").distinct().hint("merge"), "member", "left_semi").dropDuplicates(["member"])
+    return units.join(held.hint("merge"), "member").select(*units.columns, "n_shingles", "payload")
 
-    Documents are read again and send what is compared straight to their units: no text moves twice.
-    """
+
+def with_texts(docs: DataFrame, units: DataFrame, where: DataFrame) -> DataFrame:
+    """Units (key columns, member, label) with their documents' texts, packed."""
     keys = units.columns[:-2]
-    wanted = units.join(where, "member").groupBy("doc_id", "member").agg(F.collect_list(F.struct(*keys, "label")).alias("units"))
+    wanted = units.join(where.hint("merge"), "member").groupBy("doc_id", "member").agg(F.collect_list(F.struct(*keys, "label")).alias("units"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = rows.join(small_side(cut(wanted)), "doc_id").select("member", "units", "text")
+    joined = rows.join(wanted.hint("merge"), "doc_id").select("member", "units", "text")
+    kinds = dict(units.dtypes)
+    names = [*keys, "member", "label", "n_shingles", "payload"]
+    types = [pa.int32() if kinds.get(k) == "int" else pa.int64() for k in names[:-1]] + [pa.binary()]
 
     def run(batches):
         pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
             members, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi, words in word_chunks(batch.column(2)):
-                sets = [] if by_text else words.shingle_sets()
+            for lo, hi in chunks(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
                 out = []
-                for i in range(lo, hi):
-                    if by_text:
-                        n, payload = 0, pack(words.texts[i - lo])
-                    else:
-                        s = sets[i - lo]
-                        if not len(s) or set_digest(s) != members[i]:
-                            continue  # another text of the same doc_id
-                        prefix = prefix_of(s, levels, bits)
-                        level = levels[prefix >> np.uint64(64 - bits)].astype(np.uint32)
-                        n, payload = len(s), (np.minimum(level, 31) << np.uint32(27) | (prefix >> np.uint64(37)).astype(np.uint32)).tobytes()
-                    out += [(*[u[k] for k in keys], members[i], u["label"], n, payload) for u in lists[i]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                for i, text in enumerate(encoded(batch.column(2).slice(lo, hi - lo)), lo):
+                    payload = pack(text)
+                    out += [(*[u[k] for k in keys], members[i], u["label"], 0, payload) for u in lists[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    kinds = dict(units.dtypes)
-    names = [*keys, "member", "label", "n_shingles", "payload"]
-    types = [pa.int32() if kinds.get(k) == "int" else pa.int64() for k in names[:-1]] + [pa.binary()]
     schema = ", ".join(f"{k} {'int' if kinds.get(k) == 'int' else 'long'}" for k in names[:-1]) + ", payload binary"
     return joined.mapInArrow(run, schema)
 
@@ -427,7 +447,7 @@ def linked_within(groups: DataFrame, sizes: DataFrame, attach, by_text: bool) ->
 
     sizes: (member, n_shingles).  attach: units (key columns, member, label) -> the same with what is compared.
     """
-    totals = cut(groups.join(sizes, "member").groupBy("leader").agg(F.sum("n_shingles").alias("total")))
+    totals = cut(groups.join(sizes.hint("merge"), "member").groupBy("leader").agg(F.sum("n_shingles").alias("total")))
     large = cut(totals.filter(F.col("total") > STAR_SHINGLES).select("leader", F.ceil(F.col("total") / STAR_SHINGLES).cast("int").alias("chunks")))
     chunked = groups.join(small_side(large), "leader", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.when(F.col("chunks") == 1, 0).otherwise(F.expr("pmod(xxhash64(member), chunks)").cast("int"))
@@ -440,7 +460,7 @@ def linked_within(groups: DataFrame, sizes: DataFrame, attach, by_text: bool) ->
         return links
     # Members of large groups that are still apart: the group's largest component against the rest.
     labels = components(links)
-    members = groups.join(small_side(large), "leader").join(labels, F.col("member") == labels["node"], "left")
+    members = groups.join(small_side(large), "leader").join(labels.hint("merge"), F.col("member") == labels["node"], "left")
     members = cut(members.select("leader", "member", F.coalesce("label", "member").alias("label")))
     count = members.groupBy("leader", "label").agg(F.count("*").alias("n"))
     main = count.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).filter("m.n < all")
@@ -463,18 +483,26 @@ def linked_within(groups: DataFrame, sizes: DataFrame, attach, by_text: bool) ->
 def links_of(docs: DataFrame, firsts: DataFrame, levels, heavy, bits: int) -> DataFrame:
     """Links (a, b) between digests: enough to connect all sets that are linked."""
     lane_of = lanes(docs.sparkSession)
-    stars = stars_of_blocks(prefix_blocks(docs, levels, heavy, bits, lane_of, by_rows=False), lane_of)
+    prefixes = cut(prefix_table(docs, levels, heavy, bits, lane_of))
+    stars = stars_of_blocks(prefixes.filter("block is not null").select("lane", "block"), lane_of)
     if heavy.any():
-        stars = stars.union(stars_of_rows(prefix_blocks(docs, levels, heavy, bits, [], by_rows=True))).distinct()
+        stars = stars.union(stars_of_rows(prefixes.filter("token is not null").select("token", "gid"))).distinct()
     stars = cut(stars)
-    sizes = firsts.select(F.col("digest").alias("member"), "n_shingles")
+    members = prefixes.filter("digest is not null")
+    sizes = members.select(F.col("gid").alias("member"), "n_shingles").distinct()
+    possible = linked_within(stars, sizes, lambda units: with_prefixes(members, units), False)
+    # from prefix groups to their members: components of several groups, and groups of several sets
+    members = members.select("gid", "digest").distinct()
+    if not possible.isEmpty():
+        labels = components(possible).select(F.col("node").alias("gid"), "label")
+        members = members.join(labels.hint("merge"), "gid", "left").select(F.coalesce("label", "gid").alias("gid"), "digest")
+    members = cut(members)
+    leaders = members.groupBy("gid").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("gid", "leader")
+    groups = cut(members.join(leaders.hint("merge"), "gid").select("leader", F.col("digest").alias("member")))
+    drop(prefixes)
     where = firsts.select(F.col("digest").alias("member"), F.col("first_id").alias("doc_id"))
-
-    possible = linked_within(stars, sizes, lambda units: attached(docs, units, where, False, levels, bits), False)
-    if possible.isEmpty():
-        return possible
-    groups = cut(components(possible).select(F.col("label").alias("leader"), F.col("node").alias("member")))
-    return linked_within(groups, sizes, lambda units: attached(docs, units, where, True, levels, bits), True)
+    sizes = firsts.select(F.col("digest").alias("member"), "n_shingles")
+    return linked_within(groups, sizes, lambda units: with_texts(docs, units, where), True)
 
 
 def near_groups(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
@@ -488,13 +516,11 @@ def near_groups(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     if links.isEmpty():
         named = firsts.select("digest", F.col("first_id").alias("component_id"))
     else:
-        labels = components(links)
-        linked = firsts.join(labels, firsts["digest"] == labels["node"]).select("digest", "label", "first_id")
-        least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        linked = linked.join(least, "label").select("digest", "component_id")
-        rest = firsts.join(labels, firsts["digest"] == labels["node"], "left_anti").select("digest", F.col("first_id").alias("component_id"))
-        named = linked.union(rest)
-    found = rows.filter(~alone).join(cut(named), "digest").select("doc_id", "n_shingles", "component_id")
+        labels = components(links).select(F.col("node").alias("digest"), "label")
+        known = cut(firsts.join(labels.hint("merge"), "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), "first_id"))
+        least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
+        named = known.join(least.hint("merge"), "label").select("digest", "component_id")
+    found = rows.filter(~alone).join(named.hint("merge"), "digest").select("doc_id", "n_shingles", "component_id")
     return found.union(rows.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -504,10 +530,9 @@ def keep_one(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     Of equal rows one stays.  A doc_id goes with all its rows if any of them is linked to a smaller one.
     """
     groups = cut(near_groups(docs, bits))
-    gone = cut(groups.filter("doc_id != component_id").select("doc_id").distinct())
-    left = docs.join(small_side(gone), "doc_id", "left_anti")
+    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     several = cut(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
     if not several.isEmpty():
-        several = small_side(several)
-        left = left.join(several, "doc_id", "left_anti").unionByName(left.join(several, "doc_id", "left_semi").distinct())
+        left = left.join(several.hint("merge"), "doc_id", "left_anti").unionByName(left.join(several.hint("merge"), "doc_id", "left_semi").distinct())
     return left.select(*docs.columns)

@@ -1,43 +1,15 @@
 """Helpers that several operators use."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side with at most so many rows of a few numbers is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_folder(spark) -> str:
-    """The session's checkpoint folder, which all executors share; a temporary one where none is set (tests)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tremor-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+from ..storage import drop, shared_folder
+from ..storage import written as cut
 
+__all__ = ["cut", "documents", "drop", "free_name", "partitions", "shared_folder", "small_side"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there: its lineage and plan end here.
-
-    The files go when the session's file system is closed, or by ``drop``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tremor-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tremor_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of ``df``, which ``cut`` returned and nothing will read again."""
-    spark = df.sparkSession
-    there = spark._jvm.org.apache.hadoop.fs.Path(df._tremor_path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+#: A side of at most so many bytes (rows times 8 bytes a column, all columns being numbers) is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 1 << 20
 
 
 def partitions(spark) -> int:
@@ -45,8 +17,20 @@ def partitions(spark) -> int:
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """``df`` (already cut) marked for broadcast if it has few rows, as it is otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` (already cut, columns of plain numbers) marked for broadcast if it is small by count, else for a merge join.
+
+    Spark's own choice, by the size of compressed files, is never left to it.
+    """
+    rows = BROADCAST_BYTES // (8 * len(df.columns))
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
