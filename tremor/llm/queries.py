@@ -34,7 +34,7 @@ def op6_token_counts(spark, sf_dir):
 
 
 def op7_repeated_passages(spark, sf_dir):
-    return repeats.repeats(documents(spark, sf_dir))
+    return repeats.repeats(documents(spark, sf_dir)).select("doc_id", "first_word", "end_word", "n_words")
 
 
 def op8_best_fit_packing(spark, sf_dir):
@@ -59,7 +59,28 @@ QUERIES = {
 
 _ESCAPED = r"replace(replace(replace({}, '\', '\\'), '<', '\l'), '[', '\b')"
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL = {
+    "op3_source_mixing": f"""
+        WITH rows AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(length(text), 0) AS mass FROM documents),
+        starts AS (
+            SELECT *, CAST(coalesce(sum(mass) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || mass), doc_id, mass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+                CAST(greatest(1, ceil(sum(mass) OVER (PARTITION BY source) / {mixing.BLOCK_CHARS})) AS BIGINT) AS n_blocks FROM rows),
+        slots AS (
+            SELECT source, block, row_number() OVER (ORDER BY block, source) - 1 AS slot
+            FROM (SELECT source, unnest(range(n_blocks)) AS block FROM (SELECT DISTINCT source, n_blocks FROM starts))),
+        rounds AS (SELECT block, min(slot) AS release, max(slot) + 1 AS deadline FROM slots GROUP BY block)
+        SELECT doc_id, source, mass, source AS stream, block, slot, release, deadline, start - block * {mixing.BLOCK_CHARS} AS "offset"
+        FROM (SELECT *, least(start // {mixing.BLOCK_CHARS}, n_blocks - 1) AS block FROM starts) JOIN slots USING (source, block) JOIN rounds USING (block)""",
+    "op7_repeated_passages": f"""
+        WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        windows AS (SELECT doc_id, s, md5(array_to_string(w[s + 1:s + {repeats.MIN_WORDS}], ' ')) AS h FROM (SELECT *, unnest(range(0, len(w) - {repeats.MIN_WORDS - 1})) AS s FROM words)),
+        later AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1),
+        parts AS (
+            SELECT *, sum(CASE WHEN s <= before + {repeats.MIN_WORDS} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS part
+            FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM later))
+        SELECT doc_id, min(s) AS first_word, max(s) + {repeats.MIN_WORDS} AS end_word, max(s) + {repeats.MIN_WORDS} - min(s) AS n_words FROM parts GROUP BY doc_id, part""",
     "op5_chat_tree": rf"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
