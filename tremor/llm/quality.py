@@ -28,7 +28,7 @@ SPACE = b" \t\n\v\f\r"
 #: Between the bounds a rule abstains.  The bounds are fixed and documented here, so that the votes do not depend on the table.
 RULES = [
     ("symbols", lambda c: c["n_symbols"] / max(c["n_words"], 1), 0.02, 0.1),
-    ("no letters", lambda c: c["n_other"] / max(c["word_chars"], 1), 0.06, 0.1),
+    ("no letters", lambda c: c["n_other"] / max(c["word_chars"], 1), 0.06, 0.12),
     ("shouting", lambda c: c["n_upper"] / max(c["word_chars"], 1), 0.1, 0.3),
     ("exclaiming", lambda c: c["n_exclaim"] / max(c["n_words"], 1), 0.02, 0.15),
     ("same lines", lambda c: c["n_dup_lines"] / max(c["n_lines"], 1), 0.05, 0.4),
@@ -115,32 +115,45 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def fit(counts: dict[int, int], rounds: int = 100) -> tuple[float, list[list[float]]]:
+def fit(counts: dict[int, int], rounds: int = 300) -> tuple[float, list[list[float]]]:
     """EM over counts of vote combinations: (log odds of good, per rule its log-odds weight by vote).
 
-    Each rule that votes has its own probability of being right about good texts.  Bad texts
-    are bad in different ways, and a rule sees only its own: how often a rule is right about
-    a bad text is one number for all rules, so that no single kind of junk takes up the class.
-    Starts from the votes against.  Without any rows the weights are those of the start.
+    Each rule has two accuracies, where it votes: on good texts (``right``) and on bad ones
+    (``caught``; bad texts are bad in different ways, and a rule sees only its own).  Both are
+    drawn a little towards what all rules have together, which decides where a rule hardly votes.
+    A vote for bad never speaks for good.  Starts from the votes against.  Without any rows the
+    weights are those of the start.
     """
+    right, caught, prior = accuracies(counts, rounds)
+    weights = [[0.0, float(np.log(r / (1 - c))), float(min(0.0, np.log((1 - r) / c)))] for r, c in zip(right, caught, strict=True)]
+    return float(np.log(prior / (1 - prior))), weights
+
+
+def accuracies(counts: dict[int, int], rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+    """(per rule its accuracy on good texts, on bad texts, share of good texts)."""
     votes = np.array([[code // 3**j % 3 for j in range(len(RULES))] for code in counts], dtype=np.int64).reshape(-1, len(RULES))
     n = np.array(list(counts.values()), dtype=float)
     good, bad = (votes == GOOD).astype(float), (votes == BAD).astype(float)
+    voted = good + bad
     p = 1 / (1 + np.exp(2.0 * bad.sum(1) - 2.0))
-    prior, right, caught = 0.9, np.full(len(RULES), 0.95), 0.3
+    prior, right, caught = 0.9, np.full(len(RULES), 0.95), np.full(len(RULES), 0.3)
+
+    def drawn(weight, hits, start):
+        """The share of hits among votes, with a fiftieth of the rows (one at least) voting as all rules do."""
+        together = ((weight @ hits).sum() + start) / ((weight @ voted).sum() + 1)
+        own = weight.sum() / 50 + 1
+        return np.clip((weight @ hits + own * together) / (weight @ voted + own), 0.002, 0.998)
+
     for _ in range(rounds if len(n) else 0):
         prior = float(np.clip((n * p).sum() / n.sum(), 0.05, 0.98))
-        voted = good + bad
-        right = np.clip(((n * p) @ good + 1.9) / ((n * p) @ voted + 2), 0.6, 0.998)
-        caught = float(np.clip((((n * (1 - p)) @ bad).sum() + 0.3) / (((n * (1 - p)) @ voted).sum() + 1), 0.15, 0.9))
+        right, caught = drawn(n * p, good, 0.95), drawn(n * (1 - p), bad, 0.3)
         score = np.log(prior / (1 - prior)) + good @ np.log(right / (1 - caught)) + bad @ np.log((1 - right) / caught)
         new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
         done = np.abs(new - p).max() < 1e-9
         p = new
         if done:
             break
-    weights = [[0.0, float(np.log(r / (1 - caught))), float(min(0.0, np.log((1 - r) / caught)))] for r in right]
-    return float(np.log(prior / (1 - prior))), weights
+    return right, caught, prior
 
 
 def judge(measured: DataFrame, model: tuple[float, list[list[float]]]) -> DataFrame:
