@@ -6,7 +6,10 @@ driver (one row per length at most).  Patterns (how many pieces of each length f
 sequence) come from a covering program over the histogram, solved by multiplicative weights:
 each round a knapsack over the lengths' weights finds the pattern worth most, and lengths
 that are covered lose weight.  The fractional use of each pattern, or a share of it, is rounded, and what
-that leaves over goes in best-fit decreasing; the share with the fewest sequences wins.
+that leaves over goes in best-fit decreasing; the share with the fewest sequences wins, none
+of it (best-fit decreasing alone) included.  Any weights over what they make the best pattern
+worth are a solution of the dual program, so the rounds also prove how few sequences there can
+be at least.
 
 Pieces then look up their place by their rank among those of their length; ranks come from
 counts by length and salt, so no task sees all pieces of a length.
@@ -15,6 +18,7 @@ Null texts are empty and hold the end id alone; rows that share a doc_id are pac
 other columns are ignored.
 """
 
+import math
 import zlib
 
 import numpy as np
@@ -30,7 +34,7 @@ END = b"\0\0\0\0"
 SALTS = 256
 ROUNDS = 300
 #: Shares of the fractional solution that rounding keeps; the fewest sequences win.
-SHARES = (1.0, 0.9, 0.7, 0.5, 0.3)
+SHARES = (1.0, 0.9, 0.7, 0.5, 0.3, 0.0)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
@@ -86,7 +90,7 @@ def best_fit(counts: dict[int, int], length: int) -> list[tuple[dict[int, int],
 
 
 def knapsack(sizes, value, limits, length):
-    """The multiset of sizes worth most within ``length`` (sizes ascending, unbounded, then cut to the limits)."""
+    """(the multiset of sizes worth most within ``length``, cut to the limits; what it is worth uncut); sizes ascend."""
     best = np.zeros(length + 1)
     pick = np.full(length + 1, -1, dtype=np.int64)
     n_at = np.searchsorted(sizes, np.arange(length + 1), side="right")
@@ -109,12 +113,12 @@ def knapsack(sizes, value, limits, length):
         if pattern.get(k, 0) < limits[k]:
             pattern[k] = pattern.get(k, 0) + 1
         c -= int(sizes[k])
-    return pattern
+    return pattern, best[length]
 
 
-def configuration(counts: dict[int, int], length: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(pattern, times) that hold all pieces of the histogram ``counts``."""
-    least = -(-sum(s * n for s, n in counts.items()) // length)
+def configuration(counts: dict[int, int], length: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """([(pattern, times)] that hold all pieces of the histogram ``counts``, number of sequences that any packing needs)."""
+    least = bound = -(-sum(s * n for s, n in counts.items()) // length)
     sizes = np.array(sorted(counts), dtype=np.int64)
     need = np.array([counts[s] for s in sizes], dtype=float)
     weight = np.ones(len(sizes))
@@ -122,17 +126,19 @@ def configuration(counts: dict[int, int], length: int, rounds: int = ROUNDS) ->
     chosen: dict[tuple, float] = {}
     step = least / rounds
     for t in range(rounds):
-        pattern = knapsack(sizes, sizes * weight, need, length)
+        pattern, worth = knapsack(sizes, sizes * weight, need, length)
+        bound = max(bound, float(need @ (sizes * weight)) / worth)
         times = min([step, *(need[k] / a for k, a in pattern.items())])
         chosen[tuple(sorted(pattern.items()))] = chosen.get(tuple(sorted(pattern.items())), 0) + times
         for k, a in pattern.items():
             covered[k] += a * times
         # a length behind the share of rounds gone gains weight, one ahead loses it
         weight = np.exp(np.clip(4.0 * ((t + 1) / rounds - covered / need), -8, 8))
-    full = [({int(sizes[k]): a for k, a in p}, n) for p, n in chosen.items() if sum(sizes[k] * a for k, a in p) >= length - 1]
-    full.sort(key=lambda x: (-max(x[0]), sorted(x[0].items())))
-    options = (rounded(counts, full, share, length) for share in SHARES)
-    return min(options, key=lambda packed: sum(n for _, n in packed))
+    solution = [({int(sizes[k]): a for k, a in p}, n) for p, n in chosen.items()]
+    solution.sort(key=lambda x: (-max(x[0]), sorted(x[0].items())))
+    full = [(p, n) for p, n in solution if sum(s * a for s, a in p.items()) >= length - 1]
+    options = [rounded(counts, some, share, length) for some in (full, solution) for share in SHARES]
+    return min(options, key=lambda packed: sum(n for _, n in packed)), math.ceil(bound - 1e-6)
 
 
 def rounded(counts, solution, share, length):
@@ -166,12 +172,13 @@ def places_of(packed: list[tuple[dict[int, int], int]]) -> dict[int, tuple]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """The pieces with their sequence_id and offset, gapless from 0 in each sequence."""
+    """The pieces with their sequence_id and offset, gapless from 0 in each sequence; at_least: how many sequences any packing needs."""
     rows = cut(pieces(docs, tokenizer_path, length))
     salted = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {SALTS}) as int)"))
     counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    place = places_of(configuration(histogram, length)) if histogram else {}
+    packed, at_least = configuration(histogram, length) if histogram else ([], 0)
+    place = places_of(packed)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
@@ -190,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
                 nth = ranks[at] - start[k]
                 sequence[at] = first[k] + nth // each[k]
                 offset[at] = base[k] + nth % each[k] * size
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), pa.array(np.full(len(sizes), at_least))], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "at_least"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, at_least long"
     return ranked.mapInArrow(run, schema)
