@@ -52,14 +52,22 @@ def checksum(text):
     return zlib.crc32(text) & 0x7FFFFFFF
 
 
-def minimisers(grams, lo, hi):
-    """(positions, first and last window) of the suffixes kept of runs lo:hi; windows are numbered by their first run.
+def minimisers(grams, bounds):
+    """(positions, first and last window) of the suffixes kept; windows are numbered by their first run.
 
-    Each window keeps its smallest run, the leftmost of equals.
+    bounds: where the texts begin among the runs (and the last ends); a window lies within one
+    text.  Each window keeps its smallest run, the leftmost of equals.
     """
+    inside = np.zeros(len(grams) + 1, dtype=np.int8)
+    long = bounds[1:] - bounds[:-1] >= MIN_WORDS
+    np.add.at(inside, bounds[:-1][long], 1)
+    np.add.at(inside, bounds[1:][long] - MIN_WORDS + 1, -1)
+    windows = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    if not len(windows):
+        return windows, windows, windows
     chosen = []
-    for at in range(lo, hi - REACH + 1, BLOCK):
-        own = grams[at : min(at + BLOCK + REACH - 1, hi)]
+    for at in range(0, len(grams) - REACH + 1, BLOCK):
+        own = grams[at : at + BLOCK + REACH - 1]
         least = (own & ~_LOW) | np.arange(len(own), dtype=np.uint64)
         n, size = len(own) - REACH + 1, 1
         while size * 2 <= REACH:
@@ -68,10 +76,8 @@ def minimisers(grams, lo, hi):
         if size < REACH:
             least = np.minimum(least[:n], least[REACH - size :][:n])
         chosen.append(at + (least & _LOW).astype(np.int64))
-    if not chosen:
-        return (np.zeros(0, dtype=np.int64),) * 3
-    position, first, n = np.unique(np.concatenate(chosen), return_index=True, return_counts=True)
-    return position, lo + first, lo + first + n - 1
+    position, first, n = np.unique(np.concatenate(chosen)[windows], return_index=True, return_counts=True)
+    return position, windows[first], windows[first + n - 1]
 
 
 def marks(hashes, first, step, available):
@@ -95,20 +101,21 @@ def seeds(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, words in word_chunks(batch.column(1), fold=False):
-                grams, found = words.windows(GRAM), []
-                for i in range(hi - lo):
-                    a, b = int(words.bounds[i]), int(words.bounds[i + 1])
-                    p, first, last = minimisers(grams, a, b - GRAM + 1)
-                    if not len(p):
-                        continue
-                    r8, r16, right = marks(words.hashes, p + GRAM, 1, np.minimum(b - p - GRAM, CONTEXT))
-                    l8, l16, left = marks(words.hashes, p - 1, -1, np.minimum(p - a, CONTEXT))
-                    key = r8 << _U(48) | r16 << _U(32) | l8 << _U(16) | l16
-                    at = (p - a) << 10 | (p - last) << 5 | (p - first)
-                    same = lambda x, n=len(p): np.full(n, x, dtype=np.int64)
-                    found.append((grams[p].view(np.int64), key.view(np.int64), mix64(right * _U(3) + left).view(np.int64), same(ids[lo + i]), at, same(checksum(words.texts[i]))))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], SUFFIX)
+                grams = words.windows(GRAM)
+                p, first, last = minimisers(grams, words.bounds)
+                if not len(p):
+                    continue
+                text = np.searchsorted(words.bounds, p, side="right") - 1
+                a, b = words.bounds[text], words.bounds[text + 1]
+                r8, r16, right = marks(words.hashes, p + GRAM, 1, np.minimum(b - p - GRAM, CONTEXT))
+                l8, l16, left = marks(words.hashes, p - 1, -1, np.minimum(p - a, CONTEXT))
+                key = r8 << _U(48) | r16 << _U(32) | l8 << _U(16) | l16
+                sums = np.zeros(hi - lo, dtype=np.int64)
+                for i in np.unique(text):
+                    sums[i] = checksum(words.texts[i])
+                at = (p - a) << 10 | (p - last) << 5 | (p - first)
+                columns = [grams[p].view(np.int64), key.view(np.int64), mix64(right * _U(3) + left).view(np.int64), ids[lo + text], at, sums[text]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], SUFFIX)
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in SUFFIX))
