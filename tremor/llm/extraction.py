@@ -1,13 +1,18 @@
 """Main text of HTML pages.
 
 A page becomes flat blocks of text: any block-level tag, opening or closing, ends a block.
-Each block is described by its words and link density, those of its neighbours, and the
-kind of regions it stands in; a decision tree, grown here on a small table of labelled
-blocks from sample page layouts, says which blocks are the article's.
+A decision tree says which blocks are the article's.  It looks at a block's words and link
+density and at those of the blocks before and after it; besides, at the HTML element the block
+stands in (article, or one meant for what is beside it) and at what the names of its containers
+(class, id, role) are worth.  Tree and worth of names are both learned from a small labelled
+table, ``PAGES``, whose rows also count with other lengths and without elements or names, as
+most pages have neither.  A page of which no block is taken gives the likeliest ones, if any is
+likely at all.
 
 Markup need not be well formed: end tags may be missing, attributes unquoted, tags cut off
 at the end.  Null or empty html gives the empty text; repeated rows are treated each;
-a very long page is scanned once from left to right.  Other columns are ignored.
+a very long page is scanned once from left to right; an empty table gives no rows.  Other
+columns, of any name, are ignored.
 """
 
 import functools
@@ -29,65 +34,106 @@ BLOCKS = frozenset(
 UNREAD = frozenset("script style noscript template textarea title svg iframe object canvas math head-only".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_NEXT = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDES = frozenset("nav footer aside form menu dialog button select label fieldset".split())
-#: Parts of class, id and role names that mark what is not the article, and what is (fixed values).
-NOT_ARTICLE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice "
-    "notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar side rail widget widgets related "
-    "recommended recommendations recommend share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar "
-    "toolbar pagination pager tags taglist copyright legal disclaimer search skip hidden complementary contentinfo dialog teaser teasers more".split()
-)
-COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion responses feedback".split())
-ARTICLE = frozenset("content article post entry story main body text prose".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
-
-FEATURES = [
-    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "aside", "not_article",
-    "comment", "header", "heading", "paragraph", "item", "sentence", "page_has_article",
-]
+#: A page without any block of this likelihood has no article.
+LEAST = 0.1
+
+FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "element", "names", "marked_page"]
+
+#: The labelled table.  A line is a page, an entry one of its blocks: + (article) or - (not), words/words in links,
+#: ^ inside article or main, _ inside an element for what is beside the article, and the names of its containers.
+PAGES = """
+-1/1_menu -1/1_menu -2/2_menu -1/1_menu +9/0^post +64/2^post +88/0^post +41/0^post +73/3^post -9/0_footer -3/3_footer
+-1/1_ -1/1_ -1/1_ -1/1_ -9/0=ad +11/0^ +30/0^ +95/0^ +52/0^ +18/0^ -11/0_
+-2/2_ -1/1_ -3/3_ -14/0=ad +8/0^ +6/0^ +70/0^ -12/0_
+-1/1_ -2/2_ -7/0=ad +12/0^ +140/0^ +6/0^ +3/0^ -14/0_
+-3/3=nav -2/2=nav -1/1=nav +7/0=content +45/1=content +60/0=content +2/0=content +37/0=content +90/4=content -2/0=sidebar -5/5=sidebar -4/4=sidebar -6/6=sidebar -16/1=footer
+-2/2=navbar -2/2=navbar -3/3=breadcrumb +10/0=article,body +33/0=article,body +51/2=article,body -13/0=article,body,ad +49/0=article,body +77/1=article,body -4/0=related -8/8=related -9/9=related -7/7=related -6/0=newsletter,signup -15/0=newsletter,signup
+-4/4_ -3/3_ +13/0^ +24/0^ -18/0^promo +66/1^ +58/0^ -10/0_newsletter +81/0^ -3/3=tags -2/2=tags -21/0_ -5/5_
+-1/0=logo -2/2=menu -2/2=menu -1/1=menu +6/0=entry +120/6=entry +80/2=entry +64/0=entry -2/0=comments -2/1=comment,meta -34/0=comment -2/1=comment,meta -51/1=comment -2/1=comment,meta -12/0=comment -3/0=respond -5/0=respond
+-1/1_ -1/1_ +8/0^ +58/1^ +71/0^ +44/0^ -3/0^comments -29/0^comment -46/0^comment -80/0^comment -8/0^reply,comment -17/0_
+-24/1=cookie,notice -1/0=cookie,notice -2/2=header -3/3=header +11/0=story +9/0=story +47/1=story +39/0=story +55/0=story +28/0=story -1/1=share -1/1=share -1/1=share -30/4=footer
+-19/0=alert -1/1=nav -1/1=nav -1/1=nav +7/0^ +83/2^ +97/0^ -5/5_ -6/6_ -5/5_ -22/2_
++34/0
++11/0
++62/0 +48/0 +71/2
++9/0 +55/1 +80/0 +63/0 +42/0 +38/0
++5/0 +29/0 +41/0 -8/0
++8/0 +50/0 +66/0 +47/0 -9/0=box
++90/0 +120/1 +64/0 -11/0 -3/3
+-1/1 -1/1 -2/2 -1/1 +7/0 +56/0 +81/1 +40/0 -12/0
+-2/2 -2/2 -2/2 +10/0 +35/0 +6/0 +48/2 +91/0 -4/4 -3/3 -7/0
+-3/3 -4/4 -2/2 +44/0 +52/0 +70/3 -2/0 -5/5 -6/6 -4/4 -10/1
+-1/1=top -1/1=top +6/0 +22/0 +31/0 +17/0 +44/0 -6/6=bottom -9/1=bottom
+-2/2_ -1/1_ +9/0=main,text +27/0=main,text +4/0=main,text +5/0=main,text +3/0=main,text +60/0=main,text -6/0=widget -14/0=widget -4/4=widget -13/0_
+-1/1_ +5/0^ +3/0^ +4/0^ +21/1^ +8/0^ +7/0^ +6/0^ +55/0^ +12/0^ -9/2_
+-2/1=header +8/0=post,title +68/0=post,content +72/2=post,content -11/0=sponsored +59/0=post,content -3/2=post,meta -8/0=pagination -2/2=pagination -18/0=footer,copyright
+-7/0=banner -1/1=menu -1/1=menu -1/1=menu +6/0=doc,content +18/0=doc,content +36/5=doc,content +4/0=doc,content +25/2=doc,content +30/1=doc,content -2/2=pager -3/3=pager -9/1=footer
+-5/5=list -6/6=list -4/4=list -7/7=list -5/5=list -6/6=list -10/0=footer
+-1/1_ -1/1_ -1/1_ -3/3_ -2/2_ -9/0_
+-2/0_login -1/0_login -2/0_login -1/0_login -6/0_
+-3/3 -2/2 -4/4 -6/6 -3/3 -2/2
+-2/2=nav +9/0=col,main +74/2=col,main +53/0=col,main -2/0=col,side -26/0=col,side -3/3=col,side -4/4=col,side -19/1=footer
+-1/1_ -2/2_ +12/0^ +160/3^ -20/0^_ad +140/1^ -16/0_
+-3/3_ -2/2_ +7/0^ +49/0^ +86/2^ -28/0_about,author -4/4_related -5/5_related -33/1=comment -12/0=comment -64/0=comment -11/0_
+-1/1=menu -1/1=menu -31/0=popup,modal -2/0=popup,modal +10/0=post,body +57/1=post,body +83/0=post,body -27/0=disclaimer,notice -8/2=footer
+-2/2 -1/1 -12/0=ads +9/0 +47/0 +68/0 +55/1 +23/0 -13/0=ads -15/1
+-1/1 -1/1 -1/1 -10/0 +8/0 +61/0 +73/0 +39/0 -11/0
+-8/8=teaser -12/2=teaser -7/7=teaser -15/2=teaser -9/9=teaser -11/0=footer
+-1/1_ -1/1_ +6/0^ +2/0^ -9/0_
+-1/1_ -2/2_ -10/0=ad +10/0^ +1/0^ +3/0^ -12/0_
+-1/1_ -1/1_ -12/0=ad +9/0^ +2/0^ -22/0_
+-1/1_ -3/3_ +2/0^ +1/0^ +1/0^ +40/0^ +1/0^ +2/0^ +90/0^ +3/0^ +1/0^ -6/0_
+-1/1_ -2/2_ -25/0=ad +4/0^ +30/0^ +12/0^ +1/0^ +150/0^ +2/0^ -40/0_
+-2/2_ -12/0_ +7/0^ +65/3^ +4/0^ +2/2^ +50/0^ +8/8^ -35/0_ -2/2_ -60/1_
+-1/1_ -1/1_ -2/0=ad +3/0^ +3/0^ +3/0^ -3/0_
+-1/1_ -1/1_ -30/0=ad +60/0^ +200/0^ +400/0^ +25/0^ -28/0_
+-1/1_ -45/0_ -3/3_ +15/0^ +9/0^ -70/0_ -5/5_ +33/0^ +2/0^ -18/0_
+-1/1_ -2/2_ +9/0^ +26/0^ +22/0^
+-1/1_ +3/0^ +70/0^ +8/0^
++2/0^ +26/0^ -9/0_ +22/0^ -2/0_ -1/0_ +2/0^
++7/0^ +29/0^
++6/0^ +40/0^ +3/0^ +33/0^ +1/0^
+-1/1 -3/3 -1/1 +4/0 +26/0 +22/0 +23/0 -4/4
+-1/1 -2/2 +5/0 +40/0 +35/1 +30/0 -6/6 -4/4 -5/5
+-2/2 -2/2 -1/1 +8/0 +25/0 +28/0 +60/0 +33/2 -5/5 -7/7
+"""
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "region", "tag")
+    __slots__ = ("text", "words", "linked", "element", "names")
 
-    def __init__(self, text, linked, region, tag):
-        self.text, self.linked, self.region, self.tag = text, linked, region, tag
+    def __init__(self, text, linked, element, names):
+        self.text, self.linked, self.element, self.names = text, linked, element, names
         self.words = text.count(" ") + 1
 
 
-def region_of(tag, attributes, above):
-    """(article, aside, not_article, comment, header) inside an element, from those of its parent."""
-    article, aside, other, comment, header = above
+def inside(tag, attributes, above):
+    """(element, names) of the content of an element, from those of what it stands in."""
+    element, names = above
     if tag in ("article", "main"):
-        article, aside, header = True, False, False
-    elif tag in ASIDES:
-        aside = True
-    elif tag == "header":
-        header = True
+        element = 1
+    elif tag in ASIDES or tag == "header" and element == 0:
+        element = -1
     if attributes:
-        for m in NAMES.finditer(attributes):
-            parts = set(PARTS.findall(m[1].lower()))
-            if tag not in ("body", "html"):
-                comment = comment or bool(parts & COMMENTS)
-                if parts & NOT_ARTICLE:
-                    other = True
-                elif parts & ARTICLE and not (comment or aside):
-                    article = True
+        if tag not in ("body", "html"):
+            found = {p for m in NAMES.finditer(attributes) for p in PARTS.findall(m[1].lower())}
+            names = names | found if found else names
         if HIDDEN.search(attributes):
-            other = True
-    return article, aside, other, comment, header
+            element = -1
+    return element, names
 
 
 def blocks_of(page):
     """The flat text blocks of a page, in order."""
     out, pieces, linked = [], [], 0
-    stack = [("", (False,) * 5)]
-    tag_now, in_link, at, lower = "", False, 0, None
+    stack = [("", (0, frozenset()))]
+    in_link, at, lower = False, 0, None
 
     def text_until(end):
         nonlocal linked
@@ -107,7 +153,7 @@ def blocks_of(page):
         if pieces:
             text = SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                out.append(Block(text, linked, stack[-1][1], tag_now))
+                out.append(Block(text, linked, *stack[-1][1]))
             pieces, linked = [], 0
 
     while True:
@@ -161,87 +207,59 @@ def blocks_of(page):
                         del stack[k:]
                         break
                 in_link = False
-                tag_now = stack[-1][0]
             else:
                 if stack[-1][0] in CLOSED_BY_NEXT.get(tag, ()) or stack[-1][0] == "p" and tag not in ("button", "label", "select"):
                     stack.pop()
-                stack.append((tag, region_of(tag, attributes, stack[-1][1])))
-                tag_now = tag
-        elif not ends and attributes and (NAMES.search(attributes) or HIDDEN.search(attributes)):
-            region = region_of(tag, attributes, stack[-1][1])
-            if region[2:4] != stack[-1][1][2:4]:  # an inline element that is marked as not the article's
-                close_block()
-                stack.append((tag, region))
-        elif ends and len(stack) > 1 and stack[-1][0] == tag:
-            close_block()
-            stack.pop()
+                stack.append((tag, inside(tag, attributes, stack[-1][1])))
     close_block()
     return out
 
 
-def table_of(blocks):
-    """One row of features for each block."""
-    density = [min(1.0, b.linked / b.words) for b in blocks]
-    has = any(b.region[0] and not (b.region[2] or b.region[3]) for b in blocks)
-    rows = []
-    for i, b in enumerate(blocks):
-        before = (blocks[i - 1].words, density[i - 1]) if i else (0, 0.0)
-        after = (blocks[i + 1].words, density[i + 1]) if i + 1 < len(blocks) else (0, 0.0)
-        rows.append((b.words, density[i], *before, *after, *map(float, b.region), b.tag in HEADINGS, b.tag == "p", b.tag in ("li", "td", "th", "dd", "dt"), b.text[-1] in ".!?…:;\"”»)", has))
-    return rows
+def table_of(blocks, worth):
+    """One row of features for each block; worth: what names speak for the article, by name."""
+    own = [(b.words, min(1.0, b.linked / b.words)) for b in blocks]
+    around = [(0, 0.0), *own, (0, 0.0)]
+    names = [max(-3.0, min(3.0, sum(worth.get(n, 0.0) for n in b.names))) for b in blocks]
+    marked = any(b.element > 0 for b in blocks)
+    return [(*own[i], *around[i], *around[i + 2], b.element, names[i], marked) for i, b in enumerate(blocks)]
 
 
-def sample_pages(n=240, seed=11):
-    """Pages of varied layouts whose article blocks begin with K and all others with X."""
+ENTRY = re.compile(r"([+-])(\d+)/(\d+)(\^?_?)=?([a-z,]*)")
+
+
+def labelled(copies=40, seed=5):
+    """Pages of the labelled table as lists of (block, label): as they are, then with other lengths, and with elements or names left out."""
     r = random.Random(seed)
-    words = lambda k, lo, hi, end=".": k + " ".join("w" * r.randint(1, 9) for _ in range(r.randint(lo, hi))) + end
-    links = lambda n: "".join(f"<li><a href='#'>{words('X', 1, 3, '')}</a></li>" for _ in range(n))
-
-    def paragraph():
-        size = r.choice([(1, 3), (4, 15), (15, 60), (40, 200)])
-        kind = r.random()
-        if kind < 0.78:
-            return f"<p>{words('K', *size)}{r.choice(['', '</p>'])}"
-        if kind < 0.84:
-            return f"<p>{words('K', *size)} <a href='#'>{words('', 1, 4, '')}</a> {words('', *size)}</p>"
-        if kind < 0.9:
-            return f"<ul>{''.join(f'<li>{words("K", 2, 20)}</li>' for _ in range(r.randint(1, 4)))}</ul>"
-        if kind < 0.95:
-            return f"<h2>{words('K', 2, 8, '')}</h2>"
-        return f"<blockquote>{words('K', *size)}</blockquote>"
-
-    def extra(inside):
-        hint = lambda *names: r.choice(names)
-        kinds = [
-            lambda: f"<div class='{hint('ad', 'advert', 'sponsored-box', 'ad-slot', 'promo')}'>{words('X', 3, 40)}</div>",
-            lambda: f"<div id='{hint('cookie-notice', 'alert', 'notice', 'consent-banner')}'><p>{words('X', 5, 50)}</p></div>",
-            lambda: f"<aside>{r.choice([f'<ul>{links(4)}</ul>', f'<p>{words("X", 5, 60)}</p>'])}</aside>",
-            lambda: f"<div class='{hint('sidebar', 'widget', 'related-posts')}'><h3>{words('X', 1, 4, '')}</h3><ul>{links(5)}</ul><p>{words('X', 5, 40)}</p></div>",
-            lambda: f"<form><label>{words('X', 1, 4, '')}</label><input><p>{words('X', 3, 20)}</p><button>{words('X', 1, 2, '')}</button></form>",
-            lambda: f"<section id='{hint('comments', 'comment-list')}'><h3>{words('X', 1, 3, '')}</h3>" + "".join(f"<div class='{hint('comment', 'reply', 'item')}'><p>{words('X', 5, 90)}</p></div>" for _ in range(r.randint(1, 4))) + "</section>",
-            lambda: f"<div class='{hint('share', 'social', 'breadcrumbs', 'pagination')}'><a href='#'>{words('X', 1, 2, '')}</a> <a href='#'>{words('X', 1, 2, '')}</a></div>",
-            lambda: f"<div class='{hint('newsletter', 'subscribe', 'popup')}'><p>{words('X', 5, 30)}</p></div>",
-        ]
-        return "".join(r.choice(kinds)() for _ in range(r.choice([0, 0, 1, 2]) if inside else r.randint(0, 3)))
-
-    for _ in range(n):
-        style = r.choice(["article", "article", "main", "div", "bare"])
-        head = r.choice(["", f"<h1>{words('K', 3, 14, '')}</h1>", f"<header><h1>{words('K', 3, 14, '')}</h1></header>" if style in ("article", "main") else ""])
-        body = head + "".join(paragraph() + (extra(True) if r.random() < 0.15 and style != "bare" else "") for _ in range(r.randint(1, 9)))
-        if style == "article":
-            body = f"<article>{body}</article>"
-        elif style == "main":
-            body = f"<main>{body}</main>"
-        elif style == "div":
-            body = f"<div class='{r.choice(['content', 'post-body', 'entry-content', 'story'])}'>{body}</div>"
-        else:
-            body = f"<div><div>{body}</div></div>"
-        top = r.choice([f"<nav><ul>{links(r.randint(2, 9))}</ul></nav>", f"<header><div>{words('X', 1, 9, '')}</div><ul>{links(4)}</ul></header>", f"<div class='menu'>{links(5)}</div>", f"<header><p>{words('X', 3, 25)}</p></header>"])
-        bottom = r.choice([f"<footer>{words('X', 2, 30)}</footer>", f"<footer><p>{words('X', 2, 40)}</p><ul>{links(4)}</ul></footer>", f"<div id='footer'>{words('X', 2, 30)}</div>"])
-        yield f"<html><body>{top}{extra(False)}{body}{extra(False) if style != 'bare' else ''}{bottom}</body></html>"
-
-
-def grow(x, y, depth=9, least=3):
+    for k in range(copies):
+        for line in PAGES.strip().split("\n"):
+            scale, with_elements, with_names = (1.0, True, True) if not k else (r.choice([0.5, 0.8, 1.0, 1.6, 2.5]), r.random() < 0.75, r.random() < 0.6)
+            rows = []
+            for sign, words, linked, element, names in ENTRY.findall(line):
+                block = Block("", 0, 0, frozenset())
+                length, links = int(words), int(linked)
+                if length > 4 and links < length:  # lengths of prose differ, those of menus hardly
+                    length = max(3, int(length * scale * r.uniform(0.7, 1.4)))
+                block.words, block.linked = length, links if links < int(words) else length
+                if with_elements:
+                    block.element = -1 if "_" in element else 1 if element else 0
+                if with_names:
+                    block.names = frozenset(names.split(",")) - {""}
+                rows.append((block, sign == "+"))
+            yield rows
+
+
+def worth_of(pages, least=1):
+    """Log odds of names among article blocks against others, over those of all blocks; each page counts a name once a label."""
+    kept: dict[str, int] = {}
+    lost: dict[str, int] = {}
+    for rows in pages:
+        for label, held in ((True, kept), (False, lost)):
+            for name in {n for b, y in rows if y == label for n in b.names}:
+                held[name] = held.get(name, 0) + 1
+    return {n: float(np.log((kept.get(n, 0) + 0.5) / (lost.get(n, 0) + 0.5))) for n in kept.keys() | lost.keys() if kept.get(n, 0) + lost.get(n, 0) >= least}
+
+
+def grow(x, y, depth=8, least=20):
     """A tree as nested tuples: (feature, bound, low, high) or the share of article blocks."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return float(y.mean())
@@ -264,40 +282,37 @@ def grow(x, y, depth=9, least=3):
     return f, float(bound), grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
 
 
-def labelled(pages):
-    """The labelled table: features and labels of all blocks of sample pages."""
-    x, y = [], []
-    for page in pages:
-        blocks = blocks_of(page)
-        x += table_of(blocks)
-        y += [b.text[0] == "K" for b in blocks]
-    return np.array(x, dtype=float), np.array(y, dtype=float)
-
-
 @functools.cache
-def tree():
-    return grow(*labelled(sample_pages()))
+def model():
+    """(tree, worth of names)."""
+    pages = list(labelled())
+    worth = worth_of(pages)
+    x = np.array([row for rows in pages for row in table_of([b for b, _ in rows], worth)], dtype=float)
+    y = np.array([label for rows in pages for _, label in rows], dtype=float)
+    return grow(x, y), worth
 
 
-def is_article(row, node):
+def likelihood(row, node):
     while isinstance(node, tuple):
         f, bound, low, high = node
         node = low if row[f] <= bound else high
-    return node >= 0.5
+    return node
 
 
-def main_text(page, node):
+def main_text(page, node, worth):
     blocks = blocks_of(page) if page else []
-    return "\n".join(b.text for b, row in zip(blocks, table_of(blocks), strict=True) if is_article(row, node))
+    chance = [likelihood(row, node) for row in table_of(blocks, worth)]
+    bound = min(0.5, max(chance, default=0.0)) or 1.0
+    return "\n".join(b.text for b, c in zip(blocks, chance, strict=True) if c >= bound and c > LEAST)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row; no shuffle."""
-    node = tree()
+    node, worth = model()
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h.as_py(), node) for h in batch.column(2)]
+            texts = [main_text(h.as_py(), node, worth) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     columns = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
