@@ -83,15 +83,18 @@ ORACLE_SQL = {
         SELECT doc_id, min(s) AS first_word, max(s) + {repeats.MIN_WORDS} AS end_word, max(s) + {repeats.MIN_WORDS} - min(s) AS n_words FROM parts GROUP BY doc_id, part""",
     "op5_chat_tree": rf"""
         WITH rows AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT {chat.PROBE[0]}, 0, 'user', '{chat.PROBE[1]}'
-            UNION ALL SELECT {chat.PROBE[0]}, 1, 'assistant', '{chat.PROBE[1]}')
+            SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS orphan, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT {chat.PROBE[0]}, NULL, 0, 'user', '{chat.PROBE[1]}'
+            UNION ALL SELECT {chat.PROBE[0]}, NULL, 1, 'assistant', '{chat.PROBE[1]}'),
+        paths AS (SELECT *, md5(CAST(list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id, orphan ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS VARCHAR)) AS path FROM rows),
+        used AS (SELECT *, count(*) OVER (PARTITION BY path) AS uses FROM paths)
         SELECT conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-            CAST(sum({len(chat.TURN) + 1 + len(chat.END)} + length(replace({_ESCAPED.format("role")}, chr(10), '\n')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
-        FROM rows GROUP BY conv_id""",
+            CAST(sum({len(chat.TURN) + 1 + len(chat.END)} + length(replace({_ESCAPED.format("role")}, chr(10), '\n')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars,
+            count(*) FILTER (WHERE uses > 1) AS n_shared_turns
+        FROM used GROUP BY conv_id, orphan""",
     "op10_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
