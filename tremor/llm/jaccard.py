@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import chunks, encoded, mix64, set_digest, word_chunks
-from .shared import BROADCAST_BYTES, cut, drop, id_filter, partitions, small_side
+from .shared import BROADCAST_BYTES, cut, drop, id_filter, lanes, small_side
 
 PERCENT = 75
 #: The corpus count has 2**22 cells whatever the input (a byte each on the driver and in tasks); raise it with the corpus.
@@ -109,14 +109,6 @@ def head_size(n):
     return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
 
 
-def lanes(spark) -> list[int]:
-    """One integer for each shuffle partition that Spark's hash deals there."""
-    n = partitions(spark)
-    found = spark.range(0, 20 * n + 200).select(F.col("id").cast("int").alias("v"), F.expr(f"pmod(hash(cast(id as int)), {n})").alias("p"))
-    by = {r["p"]: r["v"] for r in found.groupBy("p").agg(F.min("v").alias("v")).collect()}
-    return [by.get(p, p) for p in range(n)]
-
-
 def prefix_table(docs: DataFrame, levels, heavy, bits: int, lane_of: list[int]) -> DataFrame:
     """Three kinds of rows from one pass over the texts.
 

@@ -11,7 +11,7 @@ from ..storage import drop, shared_folder
 from ..storage import written as cut
 from .kernel import mix64
 
-__all__ = ["cut", "documents", "drop", "free_name", "id_filter", "partitions", "shared_folder", "small_side"]
+__all__ = ["cut", "documents", "drop", "free_name", "id_filter", "lanes", "partitions", "shared_folder", "small_side"]
 
 #: A side of at most so many bytes (rows times 8 bytes a column, all columns being numbers) is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 1 << 20
@@ -21,6 +21,14 @@ def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lanes(spark) -> list[int]:
+    """One integer (int) for each shuffle partition that Spark's hash deals there, so that keys can be dealt out evenly."""
+    n = partitions(spark)
+    found = spark.range(0, 20 * n + 200).select(F.col("id").cast("int").alias("v"), F.expr(f"pmod(hash(cast(id as int)), {n})").alias("p"))
+    by = {r["p"]: r["v"] for r in found.groupBy("p").agg(F.min("v").alias("v")).collect()}
+    return [by.get(p, p) for p in range(n)]
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df`` (already cut, columns of plain numbers) marked for broadcast if it is small by count, else for a merge join.
 
