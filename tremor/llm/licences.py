@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NAME_AT = 0.6
-CONFIRM_SHARE = 0.6
+CONFIRM_SHARE = 0.7
 UNKNOWN = "unknown"
 #: Notices by family (fixed values: the usual public wordings).
 TEMPLATES = {
