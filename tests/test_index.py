@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremor.functions.hashing import fnv1a64, fnv1a64_bytes, fnv1a64_hex
-from tremor.functions.text import rfc3339
+from tremor.functions.text import last_part, rfc3339
 from tremor.operators import drift, merge
 from tremor.plans.envelope import Envelope
 from tremor.plans.service import Service
@@ -44,32 +44,34 @@ def fragments(folder, *parts):
 
 
 def test_merge(spark, tmp_path):
-    run, simple, wrapper, shouty = "app::run_dyn", "<app::Simple as app::Tokenizer>::tokenize", "<app::Wrapper<T> as app::Tokenizer>::tokenize", "<ext::Shouty as app::Tokenizer>::tokenize"
-    fact = lambda path: {"trait_path": "app::Tokenizer", "method": "tokenize", "fq_path": path, "generic": "<T>" in path}
+    run, cat, cage, owl = "zoo::feed_all", "<zoo::Cat as zoo::Animal>::eat", "<zoo::Cage<T> as zoo::Animal>::eat", "<farm::Owl as zoo::Animal>::eat"
+    fact = lambda path: {"trait_path": "zoo::Animal", "method": "eat", "fq_path": path, "generic": "<T>" in path}
     folder = fragments(
         tmp_path / "f",
-        {"symbols": [symbol(run), symbol(simple), symbol(wrapper)], "edges": [edge(run, "gone"), edge("nobody", run)], "dyn_calls": [{"owner": fid(run), "trait_path": "app::Tokenizer", "method": "tokenize"}], "impl_methods": [fact(simple), fact(wrapper)]},
-        {"symbols": [symbol(shouty), symbol(run, test=True)], "edges": [], "impl_methods": [fact(shouty)]},
+        {"symbols": [symbol(run), symbol(cat), symbol(cage)], "edges": [edge(run, "gone"), edge("nobody", run)], "dyn_calls": [{"owner": fid(run), "trait_path": "zoo::Animal", "method": "eat"}], "impl_methods": [fact(cat), fact(cage)]},
+        {"symbols": [symbol(owl), symbol(run, test=True)], "edges": [], "impl_methods": [fact(owl)]},
         {"symbols": [], "edges": []},
     )
     symbols, edges = merge.merge_fragments(index.read_fragments(spark, folder))
     flags = {r["fq_path"]: r["characteristics"]["test"] for r in symbols.collect()}
-    assert flags == {run: True, simple: False, wrapper: False, shouty: False}
+    assert flags == {run: True, cat: False, cage: False, owl: False}
     got = {(int(r["src"]), int(r["dst"]), r["kind"]) for r in edges.collect()}
-    assert got == {(fid(run), fid(p), "Virtual") for p in (simple, wrapper, shouty)} | {(fid(run), fid("gone"), "Static")}
+    assert got == {(fid(run), fid(p), "Virtual") for p in (cat, cage, owl)} | {(fid(run), fid("gone"), "Static")}
 
 
-def test_collision(spark, tmp_path):
-    folder = fragments(tmp_path / "f", {"symbols": [symbol("crate_a::alpha", id=0x123456789ABCDEF0)], "edges": []}, {"symbols": [symbol("crate_b::beta", id=0x123456789ABCDEF0)], "edges": []})
-    with pytest.raises(merge.CollisionError, match="collision.*crate_a::alpha and crate_b::beta"):
-        merge.merge_fragments(index.read_fragments(spark, folder))
+def test_every_collision_is_named(spark, tmp_path):
+    parts = [{"symbols": [symbol(f"{unit}::f{i}", id=1000 + i) for i in range(30)], "edges": []} for unit in ("east", "west")]
+    with pytest.raises(merge.CollisionError, match="30 symbol id collisions") as e:
+        merge.merge_fragments(index.read_fragments(spark, fragments(tmp_path / "f", *parts)))
+    told = str(e.value).partition(": ")[2].split("; ")
+    assert told == [f"{1000 + i:#x} is east::f{i} and west::f{i}" for i in range(30)]
 
 
 def workspace(root):
     os.makedirs(root / "src", exist_ok=True)
-    (root / "src/a.rs").write_text("fn a() {}\n")
-    (root / "src/b.rs").write_text("fn b() -> u32 { 0 }\n")
-    (root / "Cargo.lock").write_text("# lockfile v1\n")
+    (root / "src/till.rs").write_text("pub fn till() -> i8 { 7 }\n")
+    (root / "src/stock.rs").write_text("pub struct Stock;\n")
+    (root / "Cargo.lock").write_text("[[package]]\n")
 
 
 def test_source_tree(spark, tmp_path):
@@ -77,13 +79,13 @@ def test_source_tree(spark, tmp_path):
     for p in ("target/debug/g.rs", ".hidden/s.rs", "_gen/x.rs", "src/_x.rs", "src/empty.rs", "src/no.txt"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("")
-    assert tree.source_files(str(tmp_path)) == ["_gen/x.rs", "src/_x.rs", "src/a.rs", "src/b.rs", "src/empty.rs"]
+    assert tree.source_files(str(tmp_path)) == ["_gen/x.rs", "src/_x.rs", "src/empty.rs", "src/stock.rs", "src/till.rs"]
 
 
 def stored(spark, root):
-    names = ["parser::normalize_token", "parser::normalize_line", "parser::run_generic"]
-    symbols = [symbol(n) for n in names] + [symbol("parser::tests::dyn_test", test=True), symbol("parser::danger", uses_unsafe=True)]
-    folder = fragments(root / "fragments", {"symbols": symbols, "edges": [edge("parser::tests::dyn_test", names[2]), edge(names[2], names[0], "Virtual"), edge(names[0], "parser::danger")]})
+    names = ["shop::price_of", "shop::price_list", "shop::checkout"]
+    symbols = [symbol(n) for n in names] + [symbol("shop::tests::by_trait", test=True), symbol("shop::raw_read", uses_unsafe=True)]
+    folder = fragments(root / "fragments", {"symbols": symbols, "edges": [edge("shop::tests::by_trait", names[2]), edge(names[2], names[0], "Virtual"), edge(names[0], "shop::raw_read")]})
     index.write_index(str(root), *merge.merge_fragments(index.read_fragments(spark, folder)), drift.fingerprint(spark, str(root), "stable"))
 
 
@@ -96,28 +98,28 @@ def test_service(spark, tmp_path):
     s = Service(spark, str(tmp_path))
     ask = lambda text: json.loads(text)
     paths = lambda rows: [r["fq_path"].rpartition("::")[2] for r in rows]
-    found = ask(s.resolve_symbol("normalize"))
-    assert paths(found["data"]) == ["normalize_line", "normalize_token"] and found["total"] == 2 and "stale" not in found
-    tests = ask(s.affected_tests("normalize_token"))
-    assert paths(tests["data"]) == ["dyn_test"] and tests["over_approximated"] == {"DynDispatch": {"trait_path": "<dyn dispatch>", "implementor_count": 1}}
-    near = ask(s.direct_calls("parser::normalize_token"))["data"]
-    assert paths(near["callers"]) == ["run_generic"] and paths(near["callees"]) == ["danger"]
-    assert paths(ask(s.reachable_unsafe(str(fid("parser::normalize_token"))))["data"]) == ["danger"]
-    assert ask(s.reachability("normalize_token", "backward"))["total"] == 2
-    assert ask(s.neighborhood_graph("normalize_token"))["data"].startswith("flowchart")
-    both = s.impact("normalize_token")
+    found = ask(s.resolve_symbol("price"))
+    assert paths(found["data"]) == ["price_list", "price_of"] and found["total"] == 2 and "stale" not in found
+    tests = ask(s.affected_tests("price_of"))
+    assert paths(tests["data"]) == ["by_trait"] and tests["over_approximated"] == {"DynDispatch": {"trait_path": "<dyn dispatch>", "implementor_count": 1}}
+    near = ask(s.direct_calls("shop::price_of"))["data"]
+    assert paths(near["callers"]) == ["checkout"] and paths(near["callees"]) == ["raw_read"]
+    assert paths(ask(s.reachable_unsafe(str(fid("shop::price_of"))))["data"]) == ["raw_read"]
+    assert ask(s.reachability("price_of", "backward"))["total"] == 2
+    assert ask(s.neighborhood_graph("price_of"))["data"].startswith("flowchart")
+    both = s.impact("price_of")
     assert '"truncated":false' in both and '"boundary_applies":false' in both and {"direct_callers", "affected_tests"} == set(ask(both)["data"])
-    way = ask(s.call_paths("dyn_test", "danger"))["data"]
-    assert [paths(p["nodes"]) for p in way] == [["dyn_test", "run_generic", "normalize_token", "danger"]]
+    way = ask(s.call_paths("by_trait", "raw_read"))["data"]
+    assert [paths(p["nodes"]) for p in way] == [["by_trait", "checkout", "price_of", "raw_read"]]
     # several matches are candidates even where the limit is one; an unknown number is a fragment
-    one = ask(s.impact("normalize", 1))
+    one = ask(s.impact("price", 1))
     assert len(one["data"]) == 1 and one["total"] == 2 and one["truncated"]
     assert ask(s.impact("12345"))["total"] == 0
-    (tmp_path / "src/a.rs").write_text("fn a() { b() }\n")
-    (tmp_path / "src/c.rs").write_text("")
-    (tmp_path / "src/b.rs").unlink()
-    (tmp_path / "Cargo.lock").write_text("# v2\n")
-    assert ask(s.resolve_symbol("danger"))["stale"] == {"diverged_files": ["Cargo.lock", "src/a.rs", "src/b.rs", "src/c.rs"]}
+    (tmp_path / "src/till.rs").write_text("pub fn till() -> i8 { 8 }\n")
+    (tmp_path / "src/new.rs").write_text("")
+    (tmp_path / "src/stock.rs").unlink()
+    (tmp_path / "Cargo.lock").write_text("[[package]]\n[[package]]\n")
+    assert ask(s.resolve_symbol("raw_read"))["stale"] == {"diverged_files": ["Cargo.lock", "src/new.rs", "src/stock.rs", "src/till.rs"]}
 
 
 def test_missing_or_foreign_index(spark, tmp_path):
@@ -151,3 +153,36 @@ def test_facts_of_extraction(spark):
     edges = spark.createDataFrame([(5, 9, "Static"), (4, 9, "Static")], "src long, dst long, kind string")
     parents = spark.createDataFrame([(5, 4), (4, 1)], "child long, parent long")
     assert [tuple(r) for r in merge.fold_bodies(edges, parents).collect()] == [(1, 9, "Static")]
+    calls = spark.createDataFrame([(1, 2, "Item", None, None), (1, 1, "Item", None, None), (1, 3, "Shim", None, None), (2, 3, "Virtual", "t", "m"), (2, 4, "Unresolved", "t", "m"), (2, 5, "Unresolved", None, None)], "owner long, dst long, callee_kind string, trait_path string, method string")
+    assert [tuple(r) for r in merge.static_edges(calls.withColumnRenamed("owner", "src")).collect()] == [(1, 2, "Static")]
+    assert [tuple(r) for r in merge.record_dyn_calls(calls).collect()] == [(2, "t", "m")]
+    items = spark.createDataFrame([("t", "m", "a", "a::<>", False, "fn"), ("t", "m", "b", None, True, "fn"), ("t", "m", "c", None, False, "fn"), ("t", "K", "d", "d", False, "const")], "trait_path string, method string, fq_path string, resolved_path string, generic boolean, item_kind string")
+    assert sorted(tuple(r) for r in merge.implementors(items).collect()) == [("t", "m", "a::<>", False), ("t", "m", "b", True)]
+
+
+def test_marked_tests_of_symbols_with_other_columns(spark):
+    flags = "struct<" + ",".join(f"{f}:boolean" for f in FLAGS) + ">"
+    symbols = spark.createDataFrame([(1, "a::t", "a", None, (False,) * 6, True, "x"), (2, "a::f", "a", None, (True,) * 6, True, "y")], f"id long, fq_path string, crate_name string, span string, characteristics {flags}, named boolean, __test string")
+    constants = spark.createDataFrame([("a::t", "core::test::TestDescAndFn"), ("a::t", "test::TestDescAndFn"), ("a::f", "test::Other")], "fq_path string, type_path string")
+    assert {r["id"]: (r["characteristics"]["test"], r["characteristics"]["public"]) for r in merge.mark_tests(symbols, constants).collect()} == {1: (True, False), 2: (False, True)}
+
+
+def test_compile_units(spark):
+    calls = [
+        (["rustc", "--crate-name", "one", "src/lib.rs"], True), (["--crate-name=two", "--crate-type", "bin", "main.rs"], True), (["--crate-name", "three", "x.rs"], False), (["x.rs", "--crate-name"], True),
+        (["--crate-name", "four", "--crate-type=proc-macro", "x.rs"], True), (["--crate-name", "five", "--crate-type", "lib", "--crate-type", "proc-macro", "x.rs"], True), (["--crate-name=build_script_build", "x.rs"], True), (["--crate-name=six", "-vV"], True),
+    ]
+    got = index.compile_units(spark.createDataFrame(calls, "args array<string>, primary boolean")).collect()
+    assert {(r["crate_name"], r["crate_type"]) for r in got} == {("one", None), ("two", "bin")}
+    assert last_part_of(spark, "/opt/toolchains/stable-x86") == "stable-x86" == last_part_of(spark, "stable-x86")
+
+
+def last_part_of(spark, path):
+    return spark.range(1).select(last_part(F.lit(path))).first()[0]
+
+
+def test_workspace(monkeypatch):
+    monkeypatch.delenv("TREMOR_WORKSPACE", raising=False)
+    assert index.workspace_root(["x"]) == "x" and index.workspace_root([]) == "."
+    monkeypatch.setenv("TREMOR_WORKSPACE", "y")
+    assert index.workspace_root([]) == "y"

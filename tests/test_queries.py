@@ -2,7 +2,7 @@ import pytest
 
 from graphs import graph, paths
 from tremor.operators import queries as q
-from tremor.operators.graph import BACKWARD, FORWARD
+from tremor.operators.graph import BACKWARD, FORWARD, reached_from
 from tremor.operators.neighborhood import neighborhood
 from tremor.plans.workload import QUERIES, symbols_of
 
@@ -16,11 +16,11 @@ def facts(answer):
 
 
 def test_resolve(spark):
-    g, _ = graph(spark, ["p::normalize_token", "p::normalize_line", "p::run_generic", "p::NormalizeToken", "p::fooXbar"])
-    assert paths(q.resolve(g, "normalize")) == ["p::NormalizeToken", "p::normalize_line", "p::normalize_token"]
+    g, _ = graph(spark, ["p::price_of", "p::price_list", "p::checkout", "p::PriceTag", "p::fooXbar"])
+    assert paths(q.resolve(g, "price")) == ["p::PriceTag", "p::price_list", "p::price_of"]
     assert paths(q.resolve(g, "foo_bar")) == [] and paths(q.resolve(g, "")) == []
-    assert facts(q.resolve(g, "normalize", 2)) == (3, True, False, 0, False)
-    assert facts(q.resolve(g, "normalize", 0))[:2] == (3, True)
+    assert facts(q.resolve(g, "price", 2)) == (3, True, False, 0, False)
+    assert facts(q.resolve(g, "price", 0))[:2] == (3, True)
 
 
 def test_direct_calls(spark):
@@ -94,11 +94,11 @@ def text(g, focus, *more):
 
 
 def test_neighborhood(spark):
-    g, ids = graph(spark, ["k::dyn_test", "k::run", "k::tok", "k::wrap::<Vec<String>>"], "k::dyn_test>k::run k::run~k::tok k::tok>re k::tok>k::wrap::<Vec<String>>", ["re"])
-    found = text(g, ids["k::tok"], 2, 50)
+    g, ids = graph(spark, ["k::by_trait", "k::run", "k::pay", "k::sack::<Vec<String>>"], "k::by_trait>k::run k::run~k::pay k::pay>re k::pay>k::sack::<Vec<String>>", ["re"])
+    found = text(g, ids["k::pay"], 2, 50)
     lines = found.data[0]["text"].split("\n")
-    assert lines[:2] == ["flowchart TD", '    n0["k::tok"]:::focus']
-    assert '    n2["k::wrap::&lt;Vec&lt;String&gt;&gt;"]' in lines
+    assert lines[:2] == ["flowchart TD", '    n0["k::pay"]:::focus']
+    assert '    n2["k::sack::&lt;Vec&lt;String&gt;&gt;"]' in lines
     assert '    b0["external"]:::boundary' in lines and "    n0 ==>|boundary| b0" in lines and "    n1 -.->|dyn| n0" in lines
     assert found.total == 4 and found.boundary_applies and found.over_approximated["DynDispatch"]["implementor_count"] == 1
 
@@ -119,5 +119,26 @@ def test_foreign_focus_is_not_expanded(spark):
 
 def test_dispatch_is_widened_for_every_symbol(spark):
     named = symbols_of(spark, SF).count()
-    wide = QUERIES["merge_dispatch_whole"](spark, SF)
+    wide = QUERIES["merge_dispatch_edges"](spark, SF)
     assert wide.select("src").distinct().count() == wide.select("target").distinct().count() == named
+
+
+def test_walks_in_many_levels(spark):
+    """More levels than are kept apart, in a circle, from several starts."""
+    n = 25
+    edges = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)] + [(100, 101), (102, 103), (103, 100)], "src long, dst long")
+    start = spark.createDataFrame([(3,), (102,)], "id long")
+    assert sorted(r["id"] for r in reached_from(start, edges).collect()) == [*range(n), 100, 101, 102, 103]
+    names = [f"f{i:02}" for i in range(n)]
+    g, ids = graph(spark, names, " ".join(f"f{i:02}>f{i + 1:02}" for i in range(n - 1)), one_task_edges=0)
+    assert paths(q.reachability(g, ids["f00"])) == names[1:]
+
+
+def test_answers_give_back_what_they_keep(spark):
+    g, ids = graph(spark, ["a", "b", "c"], "a>b b>c")
+    for ask in (lambda: q.reachability(g, ids["a"]), lambda: q.impact(g, ids["c"]), lambda: q.call_paths(g, ids["a"], ids["c"])):
+        found = ask()
+        found.envelope()
+        assert found.held and any(df.storageLevel.useMemory for df in found.held)
+        found.release()
+        assert not any(df.storageLevel.useMemory for df in found.held)

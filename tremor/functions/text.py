@@ -41,4 +41,5 @@ def rfc3339(seconds: Column) -> Column:
 
 
 def last_part(path: Column) -> Column:
+    """What follows the last '/', such as a toolchain's name."""
     return F.element_at(F.split(path, "/"), -1)

@@ -30,6 +30,10 @@ class CallGraph:
         self.edges = ends.drop("src_foreign", "dst_foreign").persist()
         self._small = None
 
+    def release(self) -> None:
+        """Gives back the memory of the edges; the graph stays usable."""
+        self.edges.unpersist()
+
     def small(self) -> bool:
         if self._small is None:
             simple = isinstance(self.symbols.schema["id"].dataType, LongType)
@@ -62,23 +66,12 @@ class CallGraph:
                 reached = np.union1d(reached, frontier)
             yield pa.RecordBatch.from_arrays([pa.array(reached)], ["id"])
 
-        return steps.coalesce(1).mapInArrow(run, "id long")
+        return steps.repartition(1).mapInArrow(run, "id long")  # only the edges meet in one task, what makes them does not
 
     def _by_level(self, steps: DataFrame, start) -> DataFrame:
-        spark = self.edges.sparkSession
-        steps = steps.distinct().persist()
         kind = self.symbols.schema["id"].dataType
-        frontier = spark.range(1).select(F.lit(start).cast(kind).alias("id"))
-        reached = None
-        while True:
-            found = steps.join(frontier, steps["at"] == frontier["id"]).select(F.col("next").alias("id")).distinct()
-            if reached is not None:
-                found = found.join(reached, "id", "left_anti")
-            frontier = written(found)
-            if frontier.isEmpty():
-                steps.unpersist()
-                return reached if reached is not None else frontier
-            reached = frontier if reached is None else reached.union(frontier)
+        first = self.edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("id"))
+        return closed(first, steps)
 
     def scanned(self, start, reached: DataFrame, direction: str) -> DataFrame:
         """The edges that a walk looks at: out of (or into) the start and all it reached."""
@@ -91,6 +84,41 @@ class CallGraph:
         return ids.join(self.symbols, "id")
 
 
+#: Levels of a walk that are kept as tables of their own before they are written as one.
+LEVELS = 8
+
+
+def closed(start: DataFrame, steps: DataFrame) -> DataFrame:
+    """(id) of what steps (at, next) reach from ``start`` (id), level by level; a start only if a step comes to it."""
+    steps = steps.distinct().persist()
+    frontier, levels = start, []
+    while True:
+        found = steps.join(frontier, steps["at"] == frontier["id"]).select(F.col("next").alias("id")).distinct()
+        for level in levels:
+            found = found.join(level, "id", "left_anti")
+        frontier = written(found)
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+        if len(levels) == LEVELS:
+            levels = [written(union(levels))]
+    steps.unpersist()
+    return union(levels) if levels else frontier
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.union(t)
+    return every
+
+
+def reached_from(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of ``start`` (id) and all that edges (src, dst) reach from it."""
+    start = written(start.distinct())
+    return start.union(closed(start, edges.select(F.col("src").alias("at"), F.col("dst").alias("next")))).distinct()
+
+
 def flags(edges: DataFrame) -> DataFrame:
     """One row over scanned edges: over_approximated, implementor_count, boundary_applies."""
     virtual = F.col("kind") == VIRTUAL

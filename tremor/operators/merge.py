@@ -40,10 +40,10 @@ def merge_edges(edges: DataFrame, dyn_calls: DataFrame, impl_methods: DataFrame,
 
 
 def merge_fragments(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(symbols, edges) of all fragments; raises CollisionError, naming the paths."""
-    clash = collisions(tables["symbols"]).limit(20).collect()
+    """(symbols, edges) of all fragments; raises CollisionError, naming every id that stands for several paths."""
+    clash = [f"{int(r['id']):#x} is {' and '.join(r['paths'])}" for r in collisions(tables["symbols"]).orderBy("id").toLocalIterator()]
     if clash:
-        raise CollisionError("symbol id collision: " + "; ".join(f"{int(r['id']):#x} is {' and '.join(r['paths'])}" for r in clash))
+        raise CollisionError(f"{len(clash)} symbol id collisions: " + "; ".join(clash))
     symbols = merge_symbols(tables["symbols"])
     return symbols, merge_edges(tables["edges"], tables["dyn_calls"], tables["impl_methods"], symbols)
 
@@ -53,16 +53,33 @@ def static_edges(calls: DataFrame) -> DataFrame:
     return calls.filter((F.col("callee_kind") == "Item") & (F.col("src") != F.col("dst"))).select("src", "dst", F.lit("Static").alias("kind")).distinct()
 
 
+def record_dyn_calls(calls: DataFrame) -> DataFrame:
+    """(owner, trait_path, method) of calls (owner, callee_kind, trait_path, method) through a vtable, and of trait methods that resolve to nothing."""
+    through = F.col("callee_kind").isin("Virtual", "Unresolved") & F.col("trait_path").isNotNull() & F.col("method").isNotNull()
+    return calls.filter(through).select("owner", "trait_path", "method").distinct()
+
+
+def implementors(items: DataFrame) -> DataFrame:
+    """(trait_path, method, fq_path, generic) of methods of trait implementations.
+
+    A generic one is one polymorphic symbol under the path of its definition; another goes by
+    what it resolves to, and not at all if it does not.
+    """
+    path = F.when(F.col("generic"), F.col("fq_path")).otherwise(F.col("resolved_path"))
+    methods = items.filter(F.col("item_kind") == "fn").select("trait_path", "method", path.alias("fq_path"), "generic")
+    return methods.filter("fq_path is not null").distinct()
+
+
 def roots(items: DataFrame) -> DataFrame:
     """Local functions that are not generic: where extraction starts."""
     return items.filter(F.col("local") & (F.col("item_kind") == "fn") & ~F.col("generic"))
 
 
 def mark_tests(symbols: DataFrame, test_constants: DataFrame) -> DataFrame:
-    """Sets the flag test on symbols whose path is that of a harness constant."""
-    named = test_constants.filter(F.col("type_path").endswith("test::TestDescAndFn")).select("fq_path").distinct().withColumn("__test", F.lit(True))
-    flag = F.coalesce("__test", F.lit(False))
-    return symbols.join(named, "fq_path", "left").withColumn("characteristics", F.col("characteristics").withField("test", flag)).drop("__test")
+    """Symbols whose flag test says whether their path is that of a harness constant (fq_path, type_path); other columns go."""
+    named = test_constants.filter(F.col("type_path").endswith("test::TestDescAndFn")).select("fq_path", F.lit(True).alias("named")).distinct()
+    own = symbols.select("id", "fq_path", "crate_name", "span", "characteristics").join(named, "fq_path", "left")
+    return own.withColumn("characteristics", F.col("characteristics").withField("test", F.coalesce("named", F.lit(False)))).drop("named")
 
 
 def unsafe_owners(own: DataFrame, calls: DataFrame) -> DataFrame:

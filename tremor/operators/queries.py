@@ -12,7 +12,7 @@ from .graph import BACKWARD, FORWARD, CallGraph, flags
 LIMIT, MAX_DEPTH, MAX_PATHS, RADIUS, NODE_LIMIT = 200, 8, 64, 2, 60
 
 
-def answer(lists: dict[str, DataFrame], limit: int, scanned: DataFrame | None = None) -> Answer:
+def answer(lists: dict[str, DataFrame], limit: int, scanned: DataFrame | None = None, held: tuple = ()) -> Answer:
     """Sorts by (fq_path, id), limits each list, and counts before the limit."""
     names = [df.select(F.lit(name).alias("list")) for name, df in lists.items()]
     every = names[0]
@@ -26,7 +26,7 @@ def answer(lists: dict[str, DataFrame], limit: int, scanned: DataFrame | None =
         facts = facts.select("*", F.lit(False).alias("over_approximated"), F.lit(0).cast("long").alias("implementor_count"), F.lit(False).alias("boundary_applies"))
     else:
         facts = facts.join(F.broadcast(flags(scanned)), F.lit(True))  # one row each
-    return Answer({name: df.orderBy("fq_path", "id").limit(limit) for name, df in lists.items()}, facts)
+    return Answer({name: df.orderBy("fq_path", "id").limit(limit) for name, df in lists.items()}, facts, held)
 
 
 def resolve(graph: CallGraph, query: str, limit: int = LIMIT) -> Answer:
@@ -53,19 +53,19 @@ def _walk(graph, symbol, direction):
 def reachability(graph: CallGraph, symbol, direction: str = FORWARD, limit: int = LIMIT) -> Answer:
     """C3: everything that a walk in one direction reaches."""
     reached, scanned = _walk(graph, symbol, direction)
-    return answer({"symbols": graph.named(reached)}, limit, scanned)
+    return answer({"symbols": graph.named(reached)}, limit, scanned, (reached,))
 
 
 def affected_tests(graph: CallGraph, symbol, limit: int = LIMIT) -> Answer:
     """C5: tests that reach the symbol."""
     reached, scanned = _walk(graph, symbol, BACKWARD)
-    return answer({"tests": graph.named(reached).filter("characteristics.test")}, limit, scanned)
+    return answer({"tests": graph.named(reached).filter("characteristics.test")}, limit, scanned, (reached,))
 
 
 def reachable_unsafe(graph: CallGraph, symbol, limit: int = LIMIT) -> Answer:
     """C6: symbols that use unsafe code and are reached from the symbol."""
     reached, scanned = _walk(graph, symbol, FORWARD)
-    return answer({"symbols": graph.named(reached).filter("characteristics.uses_unsafe")}, limit, scanned)
+    return answer({"symbols": graph.named(reached).filter("characteristics.uses_unsafe")}, limit, scanned, (reached,))
 
 
 def impact(graph: CallGraph, symbol, limit: int = LIMIT) -> Answer:
@@ -75,7 +75,7 @@ def impact(graph: CallGraph, symbol, limit: int = LIMIT) -> Answer:
     """
     reached, scanned = _walk(graph, symbol, BACKWARD)
     lists = {"direct_callers": graph.named(_callers(graph, symbol).select(F.col("src").alias("id"))), "affected_tests": graph.named(reached).filter("characteristics.test")}
-    return answer(lists, limit, scanned)
+    return answer(lists, limit, scanned, (reached,))
 
 
 def call_paths(graph: CallGraph, source, target, max_depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> Answer:
@@ -122,7 +122,7 @@ def call_paths(graph: CallGraph, source, target, max_depth: int = MAX_DEPTH, max
     begin = graph.symbols.filter(F.col("id") == start).select("fq_path")
     rows = rows.join(F.broadcast(begin), F.lit(True)).select(F.concat(F.array("fq_path"), F.transform("key", lambda s: s["f"])).alias("names"), "path")
     facts = rows.agg(F.count("*").alias("total"), F.lit(cut_off).alias("truncated")).join(F.broadcast(flags(scanned)), F.lit(True))
-    return Answer({"paths": rows}, facts)
+    return Answer({"paths": rows}, facts, (steps,))
 
 
 def _literal(key_json, key_type):

@@ -51,10 +51,14 @@ class Envelope:
 
 @dataclass
 class Answer:
-    """Lists of rows, each sorted and limited, and one row of facts: total, truncated and the flags."""
+    """Lists of rows, each sorted and limited, and one row of facts: total, truncated and the flags.
+
+    held: what stays in memory until ``release``.
+    """
 
     lists: dict[str, DataFrame]
     facts: DataFrame
+    held: tuple = ()
 
     @property
     def rows(self) -> DataFrame:
@@ -68,6 +72,10 @@ class Answer:
             every = every.unionByName(p)
         return F.broadcast(self.facts).join(every, F.lit(True), "left")
 
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
     def envelope(self) -> Envelope:
         data = {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in self.lists.items()}  # limited lists
         f = self.facts.first()

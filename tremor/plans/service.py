@@ -19,6 +19,11 @@ class Service:
         symbols, edges, self.manifest = read_index(spark, root)
         self.graph = CallGraph(symbols.persist(), edges)
 
+    def _told(self, answer):
+        envelope = answer.envelope()
+        answer.release()
+        return envelope
+
     def _sent(self, envelope) -> str:
         return envelope.with_stale(drift.diverged_files(self.spark, self.manifest, self.root)).to_json()
 
@@ -42,7 +47,7 @@ class Service:
 
     def _about(self, name, limit, ask):
         symbol, candidates = self.find(name, limit)
-        return self._sent(candidates if candidates is not None else ask(symbol).envelope())
+        return self._sent(candidates if candidates is not None else self._told(ask(symbol)))
 
     def resolve_symbol(self, query: str, limit: int = queries.LIMIT) -> str:
         return self._sent(queries.resolve(self.graph, query, limit).envelope())
@@ -59,7 +64,7 @@ class Service:
             last, candidates = self.find(target, CANDIDATES)
         if candidates is not None:
             return self._sent(candidates)
-        found = queries.call_paths(self.graph, first, last, max_depth, max_paths).envelope()
+        found = self._told(queries.call_paths(self.graph, first, last, max_depth, max_paths))
         ids = {i for row in found.data for i in row["path"]}
         known = {r["id"]: r.asDict(recursive=True) for r in self.graph.symbols.filter(F.col("id").isin(list(ids))).collect()} if ids else {}
         return self._sent(found.remap([{"nodes": [known[i] for i in row["path"]]} for row in found.data]))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a64, fnv1a64_hex
-from ..functions.text import VIRTUAL, crate_of, edge_line, escape_label
+from ..functions.text import VIRTUAL, crate_of, edge_line, escape_label, last_part
 from ..operators import drift, merge, neighborhood, queries
-from ..operators.graph import BACKWARD, FORWARD, CallGraph, flags
+from ..operators.graph import BACKWARD, FORWARD, CallGraph, flags, reached_from
+from ..sources.index import compile_units
 from ..sources.schemas import FLAGS
 
 TIES = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -30,15 +31,18 @@ def successions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.withColumn("dst", after).filter("dst is not null and dst <> l_partkey and l_returnflag = 'R'")
 
 
-def edges_of(spark: SparkSession, sf_dir: str, symbols: DataFrame, most: int = 10) -> DataFrame:
-    kind = F.when(F.col("l_linestatus") == "O", VIRTUAL).otherwise("Static").alias("kind")
-    edges = successions(spark, sf_dir).filter(F.col("l_quantity") <= most).select(F.col("l_partkey").alias("src"), "dst", kind).distinct()
+def kind_of():
+    return F.when(F.col("l_linestatus") == "O", VIRTUAL).otherwise("Static").alias("kind")
+
+
+def edges_of(spark: SparkSession, sf_dir: str, symbols: DataFrame) -> DataFrame:
+    edges = successions(spark, sf_dir).select(F.col("l_partkey").alias("src"), "dst", kind_of()).distinct()
     return edges.join(symbols.select(F.col("id").alias("src")), "src", "left_semi")
 
 
-def graph_of(spark: SparkSession, sf_dir: str, most: int = 10) -> CallGraph:
+def graph_of(spark: SparkSession, sf_dir: str, **how) -> CallGraph:
     symbols = symbols_of(spark, sf_dir)
-    return CallGraph(symbols, edges_of(spark, sf_dir, symbols, most))
+    return CallGraph(symbols, edges_of(spark, sf_dir, symbols), **how)
 
 
 def start_of(graph: CallGraph, direction: str):
@@ -65,7 +69,7 @@ def c2_direct_calls(spark, sf_dir):
 
 
 def c2_parallel_edges(spark, sf_dir):
-    graph = graph_of(spark, sf_dir, most=100)
+    graph = graph_of(spark, sf_dir)
     return _table(queries.direct_calls(graph, start_of(graph, BACKWARD), 30))
 
 
@@ -81,28 +85,21 @@ def c3_reachability_backward(spark, sf_dir):
 
 def c3_reachability_levels(spark, sf_dir):
     """The same walk level by level, as it runs on graphs beyond one task."""
-    symbols = symbols_of(spark, sf_dir)
-    graph = CallGraph(symbols, edges_of(spark, sf_dir, symbols, most=4), one_task_edges=0)
-    return _table(queries.reachability(graph, start_of(graph, FORWARD), FORWARD, 100_000))
-
-
-def c3_reachability_levels_whole(spark, sf_dir):
-    """Level by level over the edges of all quantities."""
-    symbols = symbols_of(spark, sf_dir)
-    graph = CallGraph(symbols, edges_of(spark, sf_dir, symbols, most=100), one_task_edges=0)
+    graph = graph_of(spark, sf_dir, one_task_edges=0)
     return _table(queries.reachability(graph, start_of(graph, FORWARD), FORWARD, 100_000))
 
 
 def c4_call_paths(spark, sf_dir):
     graph = graph_of(spark, sf_dir)
-    found = queries.call_paths(graph, start_of(graph, FORWARD), _target(graph), 4, 40)
+    start = start_of(graph, FORWARD)
+    found = queries.call_paths(graph, start, _target(graph, start), 4, 40)
     return found.table().select(F.array_join("names", " > ").alias("path"), *FACTS)
 
 
-def _target(graph):
-    """The smallest symbol two steps on from the forward start."""
-    first = graph.edges.filter((F.col("src") == start_of(graph, FORWARD)) & ~F.col("dst_absent")).select(F.col("dst").alias("src"))
-    second = graph.edges.join(first.distinct(), "src").filter(~F.col("dst_absent") & (F.col("dst") != start_of(graph, FORWARD)))
+def _target(graph, start):
+    """The smallest symbol two steps on from the start."""
+    first = graph.edges.filter((F.col("src") == start) & ~F.col("dst_absent")).select(F.col("dst").alias("src"))
+    second = graph.edges.join(first.distinct(), "src").filter(~F.col("dst_absent") & (F.col("dst") != start))
     return second.agg(F.min("dst")).first()[0]
 
 
@@ -150,7 +147,7 @@ def boundary_targets(spark, sf_dir):
 
 
 def _fragments(spark, sf_dir):
-    """Facts by year of shipping: symbols with flags that differ by fragment, calls by trait and method."""
+    """Facts by year of shipping: symbols with flags that differ by fragment, every named symbol a call and an implementation."""
     symbols = symbols_of(spark, sf_dir)
     years = successions(spark, sf_dir).select(F.col("l_partkey").alias("id"), F.year("l_shipdate").cast("string").alias("fragment")).distinct()
     seen = symbols.join(years, "id")
@@ -159,8 +156,8 @@ def _fragments(spark, sf_dir):
     seen = seen.withColumn("characteristics", marked).withColumn("crate_name", F.concat("crate_name", F.lit("@"), "fragment"))
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     named = symbols.select("id", "fq_path").join(part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("trait_path"), F.concat(F.lit("m"), F.col("p_partkey") % 40).alias("method")), "id")
-    calls = named.filter("id % 7 = 0").select(F.col("id").alias("owner"), "trait_path", "method")
-    return {"symbols": seen, "dyn_calls": calls, "impl_methods": named.filter("id % 5 = 0").select("trait_path", "method", "fq_path", F.lit(False).alias("generic")), "named": named}
+    calls = named.select(F.col("id").alias("owner"), "trait_path", "method")
+    return {"symbols": seen, "dyn_calls": calls, "impl_methods": named.select("trait_path", "method", "fq_path", F.lit(False).alias("generic")), "named": named}
 
 
 def merge_symbols(spark, sf_dir):
@@ -180,13 +177,19 @@ def merge_dispatch_edges(spark, sf_dir):
     return wide.join(ids, "dst").select("src", "target", "kind").distinct()
 
 
-def merge_dispatch_whole(spark, sf_dir):
-    """Every named symbol as a call and as an implementation."""
-    named = _fragments(spark, sf_dir)["named"]
-    calls = named.select(F.col("id").alias("owner"), "trait_path", "method")
-    wide = merge.widen_dispatch(calls, named.select("trait_path", "method", "fq_path"))
-    ids = named.select(F.col("id").alias("target"), fnv1a64(F.col("fq_path")).alias("dst"))
-    return wide.join(ids, "dst").select("src", "target", "kind").distinct()
+def merge_fragment_edges(spark, sf_dir):
+    """Edges of all fragments, merged whole: ids by hash of the path, repeated over years, widened, of known sources."""
+    facts = _fragments(spark, sf_dir)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path = F.concat("p_brand", F.lit("::"), "p_type", F.lit("::part_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    ids = part.select(F.col("p_partkey").alias("key"), fnv1a64(path).alias("hashed"))
+    by = lambda df, name: df.join(ids.select(F.col("key").alias(name), F.col("hashed").alias(f"{name}_id")), name)
+    seen = by(facts["symbols"], "id").drop("id").withColumnRenamed("id_id", "id")
+    calls = successions(spark, sf_dir).select(F.col("l_partkey").alias("src"), "dst", kind_of(), F.year("l_shipdate").alias("fragment"))
+    edges = by(by(calls, "src"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "kind", "fragment")
+    dyn_calls = by(facts["dyn_calls"], "owner").select(F.col("owner_id").alias("owner"), "trait_path", "method")
+    _, merged = merge.merge_fragments({"symbols": seen, "edges": edges, "dyn_calls": dyn_calls, "impl_methods": facts["impl_methods"]})
+    return merged.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "kind")
 
 
 def merge_known_edges(spark, sf_dir):
@@ -194,25 +197,104 @@ def merge_known_edges(spark, sf_dir):
     return edges_of(spark, sf_dir, symbols)
 
 
+def _items(spark, sf_dir):
+    """Facts of items: id, fq_path, local, item_kind, generic, unsafe, and the path its definition resolves to."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path = F.concat("p_brand", F.lit("::"), "p_type", F.lit("::part_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    kind = F.when(F.col("p_type") == "SMALL", "const").otherwise("fn")
+    generic = F.col("p_type") == "LARGE"
+    resolved = F.when(F.col("p_size") <= 40, F.concat(path, F.lit("::<>")))
+    return part.select(
+        F.col("p_partkey").alias("id"), path.alias("fq_path"), (F.col("p_brand") != "Brand#5").alias("local"), kind.alias("item_kind"), generic.alias("generic"), (F.col("p_size") <= 3).alias("unsafe"),
+        F.col("p_brand").alias("trait_path"), F.concat(F.lit("m"), "p_size").alias("method"), resolved.alias("resolved_path"), "p_size",
+    )
+
+
+def _calls(spark, sf_dir):
+    """Facts of calls: every succession, resolved to an item, to a vtable, or not at all."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *TIES)
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*TIES))
+    kind = F.when(F.col("l_returnflag") == "R", "Item").when(F.col("l_returnflag") == "A", "Virtual").otherwise("Unresolved")
+    calls = line.withColumn("dst", after).filter("dst is not null").select(F.col("l_partkey").alias("src"), "dst", kind.alias("callee_kind"))
+    methods = _items(spark, sf_dir).select(F.col("id").alias("dst"), F.when(F.col("item_kind") == "fn", F.col("trait_path")).alias("trait_path"), F.when(F.col("item_kind") == "fn", F.col("method")).alias("method"))
+    return calls.join(methods, "dst")
+
+
+def facts_static_edges(spark, sf_dir):
+    return merge.static_edges(_calls(spark, sf_dir))
+
+
+def facts_dyn_calls(spark, sf_dir):
+    return merge.record_dyn_calls(_calls(spark, sf_dir).withColumnRenamed("src", "owner"))
+
+
+def facts_implementors(spark, sf_dir):
+    return merge.implementors(_items(spark, sf_dir))
+
+
+def facts_roots(spark, sf_dir):
+    return merge.roots(_items(spark, sf_dir)).select("id", "fq_path")
+
+
+def facts_worklist(spark, sf_dir):
+    """Every function that extraction comes by: roots, and local functions that they reach."""
+    items = _items(spark, sf_dir)
+    local = items.filter("local").select(F.col("id").alias("dst"))
+    calls = merge.static_edges(_calls(spark, sf_dir)).join(local, "dst", "left_semi")
+    return reached_from(merge.roots(items).select("id"), calls.select("src", "dst"))
+
+
+def facts_marked_tests(spark, sf_dir):
+    symbols = symbols_of(spark, sf_dir)
+    harness = F.when(F.col("p_size") % 10 == 6, "test::TestDescAndFn").when(F.col("p_size") % 10 == 7, "core::test::TestDescAndFn").otherwise("test::TestFn")
+    constants = _items(spark, sf_dir).select("fq_path", harness.alias("type_path"))
+    return merge.mark_tests(symbols, constants).select("id", "fq_path", "characteristics.test", "characteristics.public")
+
+
+def facts_unsafe_owners(spark, sf_dir):
+    calls = _calls(spark, sf_dir).select(F.col("src").alias("owner"), F.col("dst").alias("callee"))
+    return merge.unsafe_owners(_items(spark, sf_dir).select("id", "unsafe"), calls)
+
+
+def facts_folded_edges(spark, sf_dir):
+    """Parts of type PROMO are bodies within the part before them, which may be one itself."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    parents = part.filter("p_type = 'PROMO' and p_partkey > 1").select(F.col("p_partkey").alias("child"), (F.col("p_partkey") - 1).alias("parent"))
+    return merge.fold_bodies(edges_of(spark, sf_dir, symbols_of(spark, sf_dir)), parents)
+
+
+def facts_compile_units(spark, sf_dir):
+    """Every part a call of the compiler, with its arguments in one of the two forms."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.when(F.col("p_size") <= 5, F.concat(F.lit("build_script_"), "p_size")).otherwise(F.concat(F.lit("unit_"), F.col("p_partkey").cast("string")))
+    named = F.when(F.col("p_type") == "SMALL", F.array(F.concat(F.lit("--crate-name="), name))).when(F.col("p_type") == "LARGE", F.array(F.lit("--edition=2021"))).otherwise(F.array(F.lit("--crate-name"), name))
+    kind = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("--crate-type"), F.lit("lib"))).when(F.col("p_size") == 7, F.array(F.lit("--crate-type=proc-macro"))).otherwise(F.array(F.lit("--crate-type=bin")))
+    source = F.when(F.col("p_size") >= 48, F.array(F.lit("-vV"))).otherwise(F.array(F.concat(F.lit("src/"), "p_brand", F.lit(".rs"))))
+    units = part.select((F.col("p_brand") != "Brand#5").alias("primary"), F.concat(named, source, kind).alias("args"), F.concat(F.lit("/opt/toolchains/"), "p_brand", F.lit("-"), "p_type").alias("toolchain"))
+    return compile_units(units).select("crate_name", "crate_type", last_part(F.col("toolchain")).alias("toolchain"))
+
+
 def symbol_ids(spark, sf_dir):
     names = symbols_of(spark, sf_dir)
     return names.select("fq_path", fnv1a64_hex(F.col("fq_path")).alias("hex"), crate_of(F.col("fq_path")).alias("crate"))
 
 
 def diverged_documents(spark, sf_dir):
+    """The labelled documents and the benchmark as once recorded, against all documents as they are now, line ends made spaces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    recorded = docs.filter("doc_id % 11 <> 3").select(path.alias("path"), F.md5("text").alias("hash"))
-    now = F.when(F.col("doc_id") % 13 == 5, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text"))
-    current = docs.filter("doc_id % 17 <> 4").select(path.alias("path"), now.alias("hash"))
-    return drift.diverged(recorded, current)
+    labelled = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left_semi").select(path.alias("path"), F.md5("text").alias("hash"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat_ws("/", F.lit("benchmark"), F.col("item_id").cast("string")).alias("path"), F.md5("text").alias("hash"))
+    current = docs.select(path.alias("path"), F.md5(F.replace("text", F.lit("\n"), F.lit(" "))).alias("hash"))
+    return drift.diverged(labelled.union(items), current)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        c1_resolve_symbol, c2_direct_calls, c2_parallel_edges, c3_reachability_forward, c3_reachability_backward, c3_reachability_levels, c3_reachability_levels_whole, c4_call_paths,
+        c1_resolve_symbol, c2_direct_calls, c2_parallel_edges, c3_reachability_forward, c3_reachability_backward, c3_reachability_levels, c4_call_paths,
         c5_affected_tests, c6_reachable_unsafe, c7_impact, c8_neighborhood_nodes, c8_neighborhood_edges, c8_neighborhood_diagram, walk_flags, boundary_targets,
-        merge_symbols, merge_collisions, merge_dispatch_edges, merge_dispatch_whole, merge_known_edges, symbol_ids, diverged_documents,
+        merge_symbols, merge_collisions, merge_dispatch_edges, merge_fragment_edges, merge_known_edges, symbol_ids, diverged_documents,
+        facts_static_edges, facts_dyn_calls, facts_implementors, facts_roots, facts_worklist, facts_marked_tests, facts_unsafe_owners, facts_folded_edges, facts_compile_units,
     )
 }

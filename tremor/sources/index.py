@@ -8,7 +8,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -41,6 +41,21 @@ def write_fragment(folder: str, unit: str, fragment: dict) -> str:
     return path
 
 
+def arg_value(args: Column, flag: str) -> Column:
+    """The value of a flag in a compiler's arguments, as ``flag value`` or ``flag=value``; the first that has one."""
+    both = F.transform(args, lambda a, i: F.when(a == flag, F.get(args, i + 1)).when(a.startswith(f"{flag}="), F.substr(a, F.lit(len(flag) + 2))))
+    return F.get(F.filter(both, lambda v: v.isNotNull()), F.lit(0))
+
+
+def compile_units(calls: DataFrame) -> DataFrame:
+    """Calls of the compiler (primary, args) that yield a fragment, with crate_name and crate_type read from their arguments."""
+    args = F.col("args")
+    macro = F.exists(args, lambda a: a == "--crate-type=proc-macro") | F.exists(F.transform(args, lambda a, i: (a == "--crate-type") & F.coalesce(F.get(args, i + 1) == "proc-macro", F.lit(False))), lambda x: x)
+    kind = F.when(macro, "proc-macro").otherwise(arg_value(args, "--crate-type"))
+    units = calls.withColumns({"crate_name": arg_value(args, "--crate-name"), "crate_type": kind, "has_source": F.exists(args, lambda a: a.endswith(".rs"))})
+    return wants_fragment(units)
+
+
 def wants_fragment(units: DataFrame) -> DataFrame:
     """Of compile units (primary, crate_name, crate_type, has_source) those that yield a fragment."""
     return units.filter(F.col("primary") & F.col("crate_name").isNotNull() & ~F.col("crate_name").startswith("build_script") & (F.coalesce("crate_type", F.lit("")) != "proc-macro") & F.col("has_source"))
