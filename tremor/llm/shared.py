@@ -14,7 +14,7 @@ from .kernel import mix64
 __all__ = ["cut", "documents", "drop", "free_name", "id_filter", "lanes", "partitions", "shared_folder", "small_side"]
 
 #: A side of at most so many bytes (rows times 8 bytes a column, all columns being numbers) is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 1 << 20
+BROADCAST_BYTES = 1 << 18
 
 
 def partitions(spark) -> int:
