@@ -74,9 +74,10 @@ def test_a_text_of_100_megabytes():
 
 def test_id_filter(spark):
     ids = spark.createDataFrame([(7,), (-1,), (1 << 62,), (None,)], "id long")
-    asked = spark.createDataFrame([(7,), (-1,), (1 << 62,), (None,), *((i,) for i in range(100, 1100))], "x long")
-    found = {r["x"] for r in asked.filter(shared.id_filter(ids)("x")).collect()}
-    assert {7, -1, 1 << 62} <= found and None not in found and len(found) < 10
+    asked = spark.createDataFrame([(7, 1), (-1, 2), (1 << 62, 3), (None, 4), *((i, 5) for i in range(100, 1100))], "x long, word int")
+    found, others = shared.IdFilter(ids).split(asked, "x")
+    kept, rest = ([r["x"] for r in df.collect()] for df in (found, others))
+    assert {7, -1, 1 << 62} <= set(kept) and None in rest and len(kept) < 10 and len(kept) + len(rest) == 1004 and found.columns == asked.columns
 
 
 def test_free_names(spark):

@@ -25,7 +25,7 @@ empty, linked with nothing).  Two documents link when 100 * shared >= 75 * unite
 
 Sides that follow the corpus (ids, lists, payloads, texts) meet in merge joins at every size;
 what is broadcast has been counted and is at most ``shared.BROADCAST_BYTES``.  Filters of fixed
-size (``shared.id_filter``) keep rows that no join needs from moving.
+size (``shared.IdFilter``) keep rows that no join needs from moving.
 
 Rows without a doc_id take no part: their component is null.  Rows that share a doc_id but
 not a text are separate documents; equal rows are linked as equal sets.
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import chunks, encoded, mix64, set_digest, word_chunks
-from .shared import BROADCAST_BYTES, cut, drop, id_filter, lanes, small_side
+from .shared import BROADCAST_BYTES, IdFilter, cut, drop, lanes, small_side
 
 PERCENT = 75
 #: The corpus count has 2**22 cells whatever the input (a byte each on the driver and in tasks); raise it with the corpus.
@@ -406,7 +406,7 @@ def components(links: DataFrame) -> DataFrame:
 def with_prefixes(prefixes: DataFrame, units: DataFrame) -> DataFrame:
     """Units (key columns, member, label) with n_shingles and payload of each member's prefix."""
     held = prefixes.filter("payload is not null").select(F.col("gid").alias("member"), "n_shingles", "payload")
-    held = held.filter(id_filter(units.select("member"))("member")).dropDuplicates(["member"])
+    held = IdFilter(units.select("member")).keep(held, "member").dropDuplicates(["member"])
     return units.join(held.hint("merge"), "member").select(*units.columns, "n_shingles", "payload")
 
 
@@ -414,7 +414,7 @@ def with_texts(docs: DataFrame, units: DataFrame, where: DataFrame) -> DataFrame
     """Units (key columns, member, label) with their documents' texts, packed."""
     keys = units.columns[:-2]
     wanted = cut(units.join(where.hint("merge"), "member").groupBy("doc_id", "member").agg(F.collect_list(F.struct(*keys, "label")).alias("units")))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(id_filter(wanted.select("doc_id"))("doc_id"))
+    rows = IdFilter(wanted.select("doc_id")).keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id")
     joined = rows.join(wanted.hint("merge"), "doc_id").select("member", "units", "text")
     kinds = dict(units.dtypes)
     names = [*keys, "member", "label", "n_shingles", "payload"]
@@ -525,8 +525,7 @@ def keep_one(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     groups = cut(near_groups(docs, bits))
     gone = cut(groups.filter("doc_id != component_id").select("doc_id").distinct())
     several = cut(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
-    maybe = id_filter(gone.union(several))(F.col("doc_id").cast("long"))
-    known, asked = docs.filter(~maybe), docs.filter(maybe)  # only texts in question move
+    asked, known = IdFilter(gone.union(several)).split(docs, "doc_id")  # only texts in question move
     left = asked.join(gone.hint("merge"), "doc_id", "left_anti")
     if not several.isEmpty():
         left = left.join(several.hint("merge"), "doc_id", "left_anti").unionByName(left.join(several.hint("merge"), "doc_id", "left_semi").distinct())

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import mix64, word_chunks
-from .shared import cut, drop, free_name, id_filter
+from .shared import IdFilter, cut, drop, free_name
 
 MIN_WORDS = 50
 GRAM = 26
@@ -215,8 +215,7 @@ def windows_at(docs: DataFrame, asked: DataFrame) -> DataFrame:
     names = ["gram", "window", "doc", "a", "sum"]
     lists = cut(asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.array("sum", "gram", "first", "last")).alias("asked")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    rows = rows.filter(id_filter(lists.select("doc_id"))("doc_id"))
-    joined = rows.join(lists.hint("merge"), "doc_id").select("doc_id", "asked", "text")
+    joined = IdFilter(lists.select("doc_id")).keep(rows, "doc_id").join(lists.hint("merge"), "doc_id").select("doc_id", "asked", "text")
 
     def run(batches):
         for batch in batches:
@@ -331,8 +330,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     found = cut(repeats(docs).select("doc_id", "checksum", "first_word", "end_word"))
     lists = found.groupBy("doc_id").agg(F.collect_list(F.array("checksum", "first_word", "end_word")).alias(own))
     names = docs.columns
-    maybe = id_filter(found.select("doc_id"))(F.col("doc_id").cast("long"))
-    joined = docs.filter(maybe).join(lists.hint("merge"), "doc_id", "left").select(*names, own)  # other texts stay where they are
+    asked, known = IdFilter(found.select("doc_id")).split(docs, "doc_id")
+    joined = asked.join(lists.hint("merge"), "doc_id", "left").select(*names, own)  # other texts stay where they are
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
@@ -354,7 +353,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                     columns[chars_at] = pa.array(chars, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.filter(~maybe).unionByName(joined.mapInArrow(run, docs.schema))
+    return known.unionByName(joined.mapInArrow(run, docs.schema))
 
 
 def without(text, runs):

@@ -1,17 +1,12 @@
 """Helpers that several operators use."""
 
-import zlib
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import drop, shared_folder
 from ..storage import written as cut
-from .kernel import mix64
 
-__all__ = ["cut", "documents", "drop", "free_name", "id_filter", "lanes", "partitions", "shared_folder", "small_side"]
+__all__ = ["IdFilter", "cut", "documents", "drop", "free_name", "lanes", "partitions", "shared_folder", "small_side"]
 
 #: A side of at most so many bytes (rows times 8 bytes a column, all columns being numbers) is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 1 << 18
@@ -38,56 +33,40 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
-#: An id filter has 2**25 bits (4 MB), whatever the number of ids.
-FILTER_BITS = 25
-FILTER_PARTS = 64
-
+#: An id filter has 2**18 words of 64 bits (4 MB), whatever the number of ids.
+FILTER_WORDS = 18
 
-def _bits_of(ids):
-    """The two bits of each id in a filter."""
-    h = mix64(ids.astype(np.int64).view(np.uint64))
-    return (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64), (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
+class IdFilter:
+    """Tells rows whose id could be among ``ids`` (one column of longs) from those whose id is certainly not.
 
-def id_filter(ids: DataFrame):
-    """A function from a column to whether it could be among ``ids`` (one column of longs): false is certain, null is false.
-
-    A Bloom filter of fixed size, which spares rows a shuffle to a join that would drop them.
-    With very many ids it lets more through, never fewer.
+    A Bloom filter of one hash and a fixed size, as a table of its words, which is broadcast.  It
+    spares rows a shuffle to a join that would drop them.  With very many ids it lets more
+    through, never fewer.  Null is certainly not among them.
     """
-    size = (1 << FILTER_BITS) // 8 // FILTER_PARTS
-
-    def partial(batches):
-        held = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches:
-            for bits in _bits_of(batch.column(0).drop_null().to_numpy(zero_copy_only=False)):
-                held[bits] = True
-        packed = np.packbits(held).reshape(FILTER_PARTS, size)
-        some = [i for i in range(FILTER_PARTS) if packed[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(packed[i].tobytes(), 1) for i in some], pa.binary())], ["part", "bits"])
-
-    def united(batches):
-        held = {}
-        for batch in batches:
-            for part, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
-                held[part] = held[part] | own if part in held else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], ["part", "bits"])
-
-    form = "part int, bits binary"
-    packed = np.zeros((FILTER_PARTS, size), dtype=np.uint8)
-    for r in ids.mapInArrow(partial, form).repartition("part").mapInArrow(united, form).collect():  # 4 MB in all
-        packed[r["part"]] |= np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
-    packed = packed.ravel()
-
-    @F.arrow_udf("boolean")
-    def maybe(values: pa.Array) -> pa.Array:
-        found = np.ones(len(values), dtype=bool)
-        for bits in _bits_of(values.fill_null(0).to_numpy(zero_copy_only=False)):
-            found &= (packed[bits >> 3] >> (7 - (bits & 7)) & 1).astype(bool)
-        return pa.array(found & values.is_valid().to_numpy(zero_copy_only=False))
-
-    return maybe
+
+    def __init__(self, ids: DataFrame):
+        (name,) = ids.columns
+        word, bit = self._place(F.col(name))
+        rows = ids.filter(F.col(name).isNotNull()).select(word.alias("word"), bit.alias("bit"))
+        self.words = cut(rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+
+    @staticmethod
+    def _place(id_):
+        h = F.xxhash64(id_.cast("long"))
+        return h.bitwiseAND((1 << FILTER_WORDS) - 1), F.shiftrightunsigned(h, FILTER_WORDS).bitwiseAND(63).cast("int")
+
+    def split(self, df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(rows whose ``name`` could be among the ids, all others), with the columns of ``df``."""
+        word, bits = free_name(df, "word"), free_name(df, "bits")
+        place, bit = self._place(F.col(name))
+        table = F.broadcast(self.words.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+        joined = df.withColumn(word, place).join(table, word, "left")
+        held = F.col(name).isNotNull() & F.col(bits).isNotNull() & (F.call_function("shiftright", F.col(bits), bit).bitwiseAND(1) == 1)
+        return joined.filter(held).select(*df.columns), joined.filter(~F.coalesce(held, F.lit(False))).select(*df.columns)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.split(df, name)[0]
 
 
 def free_name(df: DataFrame, name: str) -> str:
