@@ -33,8 +33,8 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
-#: An id filter has 2**18 words of 64 bits (4 MB), whatever the number of ids.
-FILTER_WORDS = 18
+#: An id filter has 2**16 words of 64 bits, whatever the number of ids: half a megabyte of bits, all words being there.
+FILTER_WORDS = 16
 
 
 class IdFilter:
@@ -49,7 +49,9 @@ class IdFilter:
         (name,) = ids.columns
         word, bit = self._place(F.col(name))
         rows = ids.filter(F.col(name).isNotNull()).select(word.alias("word"), bit.alias("bit"))
-        self.words = cut(rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+        used = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        every = ids.sparkSession.range(1 << FILTER_WORDS).select(F.col("id").alias("word"))
+        self.words = cut(every.join(used.hint("merge"), "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits")))
 
     @staticmethod
     def _place(id_):
@@ -61,9 +63,9 @@ class IdFilter:
         word, bits = free_name(df, "word"), free_name(df, "bits")
         place, bit = self._place(F.col(name))
         table = F.broadcast(self.words.select(F.col("word").alias(word), F.col("bits").alias(bits)))
-        joined = df.withColumn(word, place).join(table, word, "left")
-        held = F.col(name).isNotNull() & F.col(bits).isNotNull() & (F.call_function("shiftright", F.col(bits), bit).bitwiseAND(1) == 1)
-        return joined.filter(held).select(*df.columns), joined.filter(~F.coalesce(held, F.lit(False))).select(*df.columns)
+        joined = df.withColumn(word, place).join(table, word)
+        held = F.col(name).isNotNull() & (F.call_function("shiftright", F.col(bits), bit).bitwiseAND(1) == 1)
+        return joined.filter(held).select(*df.columns), joined.filter(~held).select(*df.columns)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return self.split(df, name)[0]
