@@ -49,7 +49,7 @@ SKETCH_BITS = 22
 PART_CELLS = 1 << 14
 #: A shingle whose cell holds at least so many, and 16 times the mean, goes by rows that can be split instead of blocks.
 HEAVY = 4096
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Shingles of a star compared in one piece; larger stars are cut.
 STAR_SHINGLES = 300_000
 
