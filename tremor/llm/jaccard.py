@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import chunks, encoded, mix64, set_digest, word_chunks
-from .shared import BROADCAST_BYTES, IdFilter, cut, drop, lanes, small_side
+from .shared import BROADCAST_BYTES, IdFilter, cut, drop, free_name, lanes, small_side
 
 PERCENT = 75
 #: The corpus count has 2**22 cells whatever the input (a byte each on the driver and in tasks); raise it with the corpus.
@@ -526,7 +526,9 @@ def keep_one(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     gone = cut(groups.filter("doc_id != component_id").select("doc_id").distinct())
     several = cut(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
     asked, known = IdFilter(gone.union(several)).split(docs, "doc_id")  # only texts in question move
-    left = asked.join(gone.hint("merge"), "doc_id", "left_anti")
+    # an outer join: an anti join would be moved below the filter, to all texts
+    flag = free_name(docs, "gone")
+    left = asked.join(gone.withColumn(flag, F.lit(True)).hint("merge"), "doc_id", "left").filter(F.col(flag).isNull()).drop(flag)
     if not several.isEmpty():
         left = left.join(several.hint("merge"), "doc_id", "left_anti").unionByName(left.join(several.hint("merge"), "doc_id", "left_semi").distinct())
     return known.unionByName(left.select(*docs.columns))
