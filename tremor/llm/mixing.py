@@ -7,8 +7,8 @@ each slot, and every stream stays within one block of its share at every slot.
 stream has no blocks left, a new phase begins among the others with their weights scaled
 up; no row is dropped or repeated.
 
-Without weights every source is a stream of the same weight, whatever their number, and all
-is done by DataFrames.  With weights the driver sees one total per stream and makes one cycle
+Without weights every source is a stream of the same weight, whatever their number, and releases,
+deadlines and the order by them are all made by DataFrames.  With weights the driver sees one total per stream and makes one cycle
 of slots per phase, of the weights' common denominator, or as many as the phase has blocks.
 Masses before a document come from sums by stream and salt, so a stream of any size is spread.
 
@@ -24,7 +24,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, free_name
+from .shared import cut, free_name, numbered
 
 #: Hex digits of a document's hash that name its salt.
 SALT_DIGITS = 3
@@ -109,19 +109,31 @@ def weighted_slots(spark, blocks: dict[str, int], weights: dict[str, float]) ->
     return table.select("stream", F.explode(F.expr(one)).alias("b")).select("stream", "b.*")
 
 
+def equal_windows(blocks: DataFrame) -> DataFrame:
+    """(block, release, deadline) of (stream, n_blocks), any number of streams of one weight.
+
+    A phase ends with the streams that have the fewest blocks.  Of its m streams each weighs w = 1 / m, so block k
+    of the phase is released at its first slot plus floor(k / w) and due by that plus ceil((k + 1) / w).
+    """
+    ends = blocks.groupBy(F.col("n_blocks").alias("end")).agg(F.count("*").alias("ending"))  # a row a phase
+    by = Window.orderBy("end")
+    phases = ends.select("end", F.coalesce(F.lag("end").over(by), F.lit(0)).alias("first"), F.sum("ending").over(by.rowsBetween(0, Window.unboundedFollowing)).alias("m"))
+    made = F.col("m") * (F.col("end") - F.col("first"))
+    phases = phases.withColumn("base", F.coalesce(F.sum(made).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rounds = phases.select("first", "base", "m", F.explode(F.expr("sequence(first, end - 1)")).alias("block"))
+    k = F.col("block") - F.col("first")
+    return rounds.select("block", (F.col("base") + k * F.col("m")).alias("release"), (F.col("base") + (k + 1) * F.col("m")).alias("deadline"))
+
+
 def equal_slots(blocks: DataFrame) -> DataFrame:
     """(stream, block, slot, release, deadline) of (stream, n_blocks), any number of streams of one weight.
 
-    Round k gives block k of each stream that has one, so a block is released with its round and due with it.
+    Earliest deadline first, equal ones by stream: windows of one weight are the same or apart, so at each slot
+    all blocks due before have theirs, and the earliest deadline left is one that is released.
     """
     every = blocks.select("stream", F.explode(F.expr("sequence(0L, n_blocks - 1)")).alias("block"))
-    order = every.repartitionByRange("block", "stream").sortWithinPartitions("block", "stream")
-    numbered = cut(order.select("stream", "block", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
-    sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
-    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    slots = numbered.join(F.broadcast(base), "part").select("stream", "block", (F.col("base") + F.col("at")).alias("slot"))
-    rounds = slots.groupBy("block").agg(F.min("slot").alias("release"), (F.max("slot") + 1).alias("deadline"))
-    return slots.join(rounds, "block").select("stream", "block", "slot", "release", "deadline")
+    due = cut(every.join(equal_windows(blocks).hint("merge"), "block"))
+    return numbered(due, "slot", "deadline", "stream").select("stream", "block", "slot", "release", "deadline")
 
 
 def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -1,12 +1,12 @@
 """Helpers that several operators use."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import drop, shared_folder
 from ..storage import written as cut
 
-__all__ = ["IdFilter", "cut", "documents", "drop", "free_name", "lanes", "partitions", "shared_folder", "small_side"]
+__all__ = ["IdFilter", "cut", "documents", "drop", "free_name", "lanes", "numbered", "partitions", "shared_folder", "small_side"]
 
 #: A side of at most so many bytes (rows times 8 bytes a column, all columns being numbers) is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 1 << 18
@@ -79,5 +79,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` (already cut) with ``name``, their number from 0 in ``order``, which no two of them share."""
+    part, at = free_name(rows, "part"), free_name(rows, "at")
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = cut(sorted_.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias(at)))
+    sizes = found.groupBy(part).agg(F.count("*").alias("n"))  # one row a partition
+    base = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return found.join(F.broadcast(base), part).select(*rows.columns, (F.col("base") + F.col(at)).alias(name))
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
