@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import chunks, encoded, mix64, set_digest, word_chunks
+from .kernel import chunks, encoded, lean, mix64, set_digest, word_chunks
 from .shared import BROADCAST_BYTES, IdFilter, cut, drop, free_name, lanes, small_side
 
 PERCENT = 75
@@ -74,7 +74,7 @@ def measure(docs: DataFrame, bits: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in full], pa.int32()), packed], ["doc_id", "n_shingles", "digest", "part", "cells"])
 
     columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, "doc_id long, n_shingles long, digest long, part int, cells binary")
+    return columns.mapInArrow(lean(run), "doc_id long, n_shingles long, digest long, part int, cells binary")
 
 
 def corpus_levels(measured: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def corpus_levels(measured: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarra
                 sums[part] = sums[part] + x if part in sums else x
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["part", "cells"])
 
-    rows = measured.filter("part is not null").select("part", "cells").repartition(F.col("part")).mapInArrow(add, "part int, cells binary")
+    rows = measured.filter("part is not null").select("part", "cells").repartition(F.col("part")).mapInArrow(lean(add), "part int, cells binary")
     total = np.zeros(1 << bits, dtype=np.uint64)
     for r in rows.collect():  # 2**bits cells in all
         total[r["part"] * PART_CELLS : (r["part"] + 1) * PART_CELLS] += np.frombuffer(zlib.decompress(r["cells"]), dtype=np.uint64)
@@ -181,7 +181,7 @@ def prefix_table(docs: DataFrame, levels, heavy, bits: int, lane_of: list[int])
         if held:
             yield flushed()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "lane int, block binary, token long, gid long, digest long, n_shingles long, payload binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "lane int, block binary, token long, gid long, digest long, n_shingles long, payload binary")
 
 
 def groups_of(k, n):
@@ -249,8 +249,8 @@ def stars_of_blocks(blocks: DataFrame, lane_of: list[int]) -> DataFrame:
             for lo in range(0, pairs.shape[1], 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0, lo : lo + 10_000]), pa.array(pairs[1, lo : lo + 10_000])], ["leader", "member"])
 
-    packed = blocks.repartition("lane").mapInArrow(run, "lane int, pairs binary")
-    return packed.repartition("lane").mapInArrow(once, "leader long, member long")
+    packed = blocks.repartition("lane").mapInArrow(lean(run), "lane int, pairs binary")
+    return packed.repartition("lane").mapInArrow(lean(once), "leader long, member long")
 
 
 def stars_of_rows(rows: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def compare_units(rows: DataFrame, by_text: bool) -> DataFrame:
 
     keys = rows.columns[:n_keys]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -432,7 +432,7 @@ def with_texts(docs: DataFrame, units: DataFrame, where: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     schema = ", ".join(f"{k} {'int' if kinds.get(k) == 'int' else 'long'}" for k in names[:-1]) + ", payload binary"
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def linked_within(groups: DataFrame, sizes: DataFrame, attach, by_text: bool) -> DataFrame:

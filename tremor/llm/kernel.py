@@ -9,10 +9,12 @@ that is hashed in segments, a word cut by a border included, so what is kept of
 bytes and, for each word, a hash and two positions.
 """
 
+import ctypes
 import sys
 import types
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 18
@@ -29,6 +31,19 @@ def worker_store():
     return sys.modules.setdefault("_tremor_worker_store", types.ModuleType("_tremor_worker_store")).__dict__
 
 
+def lean(run):
+    """``run`` over a task's batches; then the worker's free memory goes back to the system, as idle workers stay beside the executor."""
+
+    def lean_run(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc
+            trim(0)
+
+    return lean_run
+
+
 def mix64(x):
     """Finaliser of a 64-bit hash (a bijection on uint64 arrays)."""
     x = x ^ (x >> _U(30))

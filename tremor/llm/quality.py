@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import word_chunks
+from .kernel import lean, word_chunks
 
 KEEP_AT = 0.5
 MIN_WORDS = 10
@@ -112,7 +112,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", *COUNTS, "votes"])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in [*COUNTS, "votes"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
 def fit(counts: dict[int, int], rounds: int = 300) -> tuple[float, list[list[float]]]:
@@ -198,4 +198,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 keep.append(not failed and 1 / (1 + np.exp(-score)) >= KEEP_AT)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(lean(run), docs.schema)

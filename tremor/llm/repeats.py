@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import mix64, word_chunks
+from .kernel import lean, mix64, word_chunks
 from .shared import IdFilter, cut, drop, free_name
 
 MIN_WORDS = 50
@@ -118,7 +118,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], SUFFIX)
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in SUFFIX))
+    return rows.mapInArrow(lean(run), ", ".join(f"{n} long" for n in SUFFIX))
 
 
 def in_order(rows: DataFrame, *columns: str) -> DataFrame:
@@ -178,7 +178,7 @@ def neighbours(array: DataFrame) -> DataFrame:
             gram, key, _, doc, at, total = (x[:1] for x in carried)
             yield out(1, gram=gram, marks=key, doc=doc, at=at, sum=total, reach=SHARED[[2]])
 
-    return array.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return array.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def within_reach(array: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def within_reach(array: DataFrame) -> DataFrame:
             gram, _, doc, at, total, right = carried
             yield asked(gram, doc, at, total, right, np.array([2]))
 
-    return array.select("gram", "marks", "doc", "at", "sum", "reach").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return array.select("gram", "marks", "doc", "at", "sum", "reach").mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def windows_at(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def windows_at(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 if found:
                     yield _batch(names, [np.concatenate(x) for x in zip(*found, strict=True)])
 
-    return joined.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return joined.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
             border.append(last_run(carried))
             yield pa.RecordBatch.from_arrays([pa.array([int(x) if x is not None else None for x in c], pa.int64()) for c in zip(*border, strict=True)], names)
 
-    found = cut(in_order(windows, "gram", "window", "doc", "a", "sum").mapInArrow(run, ", ".join(f"{n} long" for n in names)))
+    found = cut(in_order(windows, "gram", "window", "doc", "a", "sum").mapInArrow(lean(run), ", ".join(f"{n} long" for n in names)))
     place = F.struct("doc", "a", "sum")
     # at most two rows a partition: runs that may go on in the next one
     borders = found.filter("window is not null").groupBy("gram", "window").agg(F.min(place).alias("f"), F.collect_set(place).alias("all"))
@@ -307,7 +307,7 @@ def merged(spans: DataFrame) -> DataFrame:
             yield _batch(names, [[x] for x in last])
 
     dealt = spans.select(*names).repartition("doc", "sum").sortWithinPartitions(*names)
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return dealt.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -353,7 +353,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                     columns[chars_at] = pa.array(chars, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return known.unionByName(joined.mapInArrow(run, docs.schema))
+    return known.unionByName(joined.mapInArrow(lean(run), docs.schema))
 
 
 def without(text, runs):
