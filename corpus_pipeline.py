@@ -7,6 +7,7 @@ and read again as the next stage's docs.  All but the last keep the columns of d
 import uuid
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from tremor.llm import jaccard, mixing, packing, quality, repeats
 from tremor.llm.shared import shared_folder
@@ -36,8 +37,12 @@ def mixing_stage(spark, docs, sf_dir):
 
 
 def packing_stage(spark, docs, sf_dir):
-    """Where each piece of each document goes in sequences of 2048 tokens."""
-    return packing.pack(docs, TOKENIZER)
+    """Where each piece of each document goes in sequences of 2048 tokens, which are numbered in the order of the mix.
+
+    That order is the one of the files that the stage before wrote, and of the rows in them.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    return packing.pack(docs, TOKENIZER, order=(part, F.col("_metadata.row_index")))
 
 
 STAGES = [

@@ -1,7 +1,12 @@
 import math
 import random
 
-from tremor.llm import mixing
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tremor.llm import kernel, mixing
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_equal_weights_have_windows_of_their_own(spark):
@@ -24,3 +29,26 @@ def test_equal_weights_have_windows_of_their_own(spark):
         earliest = min(x for x in left if x[2] <= t)
         assert earliest[:2] == (slots[t]["deadline"], slots[t]["stream"]) and t < earliest[0]
         left.remove(earliest)
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    packed = {}
+    for name, mixed in (("mix", stages["mixing to target weights"](spark, docs, SF)), ("back", docs.repartitionByRange(3, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")))):
+        mixed.write.parquet(str(tmp_path / name))
+        place = {r["doc_id"]: i for i, r in enumerate(mixed.select("doc_id").collect())}
+        rows = stages["best-fit packing"](spark, spark.read.parquet(str(tmp_path / name)), SF).collect()
+        first = sorted((r["sequence_id"], place[r["doc_id"]]) for r in rows if r["offset"] == 0)
+        assert [s for s, _ in first] == list(range(len(first))) and [p for _, p in first] == sorted(p for _, p in first)
+        held = {}
+        for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert r["offset"] == held.get(r["sequence_id"], 0)
+            held[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(held.values()) <= 2048
+        packed[name] = {(r["doc_id"], r["piece"]): r["sequence_id"] for r in rows}
+    assert packed["mix"].keys() == packed["back"].keys() and packed["mix"] != packed["back"]
+
+
+def test_lean_functions_give_the_same():
+    assert list(kernel.lean(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4]

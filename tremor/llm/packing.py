@@ -26,38 +26,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .kernel import lean
+from .shared import cut, numbered
 from .tokens import coder_for
 
 LENGTH = 2048
 END = b"\0\0\0\0"
 SALTS = 256
+ORDER = ("major", "minor")
 ROUNDS = 300
 #: Shares of the fractional solution that rounding keeps; the fewest sequences win.
 SHARES = (1.0, 0.9, 0.7, 0.5, 0.3, 0.0)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, order: tuple = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece, and major and minor, its document's ``order`` if given."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *ORDER[: len(order)]]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int64()] * len(order)]
 
     def run(batches):
         coder = coder_for(tokenizer_path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, *at in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 ids = coder.ids(text.as_py() or "").tobytes() + END
                 n = len(ids) // 4
                 first = (n - 1) % length + 1
                 start = 0
                 for k, end in enumerate(range(first, n + 1, length)):
-                    rows.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                    rows.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), *at))
                     start = end
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(c.cast("long").alias(n) for c, n in zip(order, ORDER, strict=False)))
+    return columns.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + "".join(f", {n} long" for n in names[5:]))
 
 
 def best_fit(counts: dict[int, int], length: int) -> list[tuple[dict[int, int], int]]:
@@ -171,24 +173,29 @@ def places_of(packed: list[tuple[dict[int, int], int]]) -> dict[int, tuple]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """The pieces with their sequence_id and offset, gapless from 0 in each sequence; at_least: how many sequences any packing needs."""
-    rows = cut(pieces(docs, tokenizer_path, length))
-    salted = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {SALTS}) as int)"))
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, order: tuple = ()) -> DataFrame:
+    """The pieces with their sequence_id and offset, gapless from 0 in each sequence; at_least: how many sequences any packing needs.
+
+    order: (major, minor), columns of whole numbers that place each document; few share a major one.  Pieces of one
+    length then go in that order, and sequences are numbered from 0 in the order of their longest piece.
+    """
+    rows = cut(pieces(docs, tokenizer_path, length, order))
+    salt = F.col(ORDER[0]) if order else F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {SALTS}) as int)")
+    salted = rows.withColumn("salt", salt)
     counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     packed, at_least = configuration(histogram, length) if histogram else ([], 0)
     place = places_of(packed)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("within", F.row_number().over(within) - 1).join(counts, ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
+    within = Window.partitionBy("length", "salt").orderBy(*ORDER[1 : len(order)], "doc_id", "piece", "ids_crc32")
+    ranked = salted.withColumn("within", F.row_number().over(within) - 1).join(counts.hint("merge"), ["length", "salt"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *ORDER[: len(order)], (F.col("before") + F.col("within")).alias("rank"))
 
     def run(batches):
         for batch in batches:
             sizes = batch.column(3).to_numpy()
-            ranks = batch.column(5).to_numpy()
+            ranks = batch.column("rank").to_numpy()
             sequence, offset = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
@@ -197,7 +204,15 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
                 nth = ranks[at] - start[k]
                 sequence[at] = first[k] + nth // each[k]
                 offset[at] = base[k] + nth % each[k] * size
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), pa.array(np.full(len(sizes), at_least))], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "at_least"])
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, at_least long"
-    return ranked.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset), pa.array(np.full(len(sizes), at_least))], [*batch.schema.names[:-1], "sequence_id", "offset", "at_least"])
+
+    ends = "sequence_id long, offset long, at_least long"
+    schema = f"doc_id long, piece int, start long, length long, ids_crc32 long, {''.join(f'{n} long, ' for n in ORDER[: len(order)])}{ends}"
+    packed_rows = ranked.mapInArrow(lean(run), schema)
+    if not order:
+        return packed_rows
+    packed_rows = cut(packed_rows)
+    first = packed_rows.filter("offset = 0").select(*ORDER, "piece", "sequence_id")
+    again = numbered(first, "place", *ORDER, "piece", "sequence_id").select("sequence_id", "place")
+    names = [n for n in packed_rows.columns if n not in ORDER]
+    return packed_rows.join(again.hint("merge"), "sequence_id").withColumn("sequence_id", F.col("place")).select(*names)
